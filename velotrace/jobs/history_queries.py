@@ -45,7 +45,7 @@ def _trend(name: str, value: str, unit: str) -> str:
     return f"""{name} AS (SELECT activity_id, (b - a) / a * 100 AS c FROM (
   SELECT activity_id, avg(x) FILTER (WHERE i < n // 2) AS a, avg(x) FILTER (WHERE i >= n // 2) AS b FROM (
     SELECT activity_id, {value} AS x, row_number() OVER (PARTITION BY activity_id ORDER BY p_start_s, p_id) - 1 AS i, count(*) OVER (PARTITION BY activity_id) AS n FROM pairs WHERE {value} > 0) t WHERE n >= 4 GROUP BY activity_id) t),
-  {name}_text AS (SELECT activity_id, CASE WHEN c > 2 THEN 'rising' WHEN c < -2 THEN 'falling' ELSE 'stable' END || ' (' || CASE WHEN c >= 0 THEN '+' ELSE '' END || printf('%.1f', c) || '%, {unit})' AS t FROM {name})"""
+  {name}_text AS (SELECT activity_id, CASE WHEN c > 2 THEN 'rising' WHEN c < -2 THEN 'falling' ELSE 'stable' END || ' (' || CASE WHEN c >= 0 THEN '+' ELSE '' END || printf('%.1f', floor(round(c, 9) * 10 + 0.5) / 10) || '%, {unit})' AS t FROM {name})"""
 
 
 @query(f"""{PAIRS}, totals AS (SELECT activity_id, count(*) AS n, sum(km) AS km, sum(secs) / 3600.0 AS hours, avg(v) FILTER (WHERE v > 0) AS v, avg(hr) FILTER (WHERE hr > 0) AS hr, max(max_hr) AS mhr, max(p_start_s) AS last, max(vmax) AS vmax, max(up) AS up FROM pairs GROUP BY activity_id
@@ -53,12 +53,13 @@ def _trend(name: str, value: str, unit: str) -> str:
   SELECT a.activity_id, count(*) FILTER (WHERE p.start_s >= a.start_s - 7 * 86400) AS n_7, sum(p.total_distance_km) FILTER (WHERE p.start_s >= a.start_s - 7 * 86400) AS km_7,
     avg(p.avg_speed_kmh) FILTER (WHERE p.start_s >= a.start_s - 7 * 86400 AND p.avg_speed_kmh > 0) AS v_7, count(*) FILTER (WHERE p.start_s >= a.start_s - 28 * 86400) AS n_28
   FROM activities a JOIN activities p ON p.athlete_id = a.athlete_id AND (p.start_s < a.start_s OR (p.start_s = a.start_s AND p.activity_id < a.activity_id)) GROUP BY a.activity_id)
-SELECT a.activity_id, round(a.total_distance_km * 0.75, 6) AS min_km, round(a.total_distance_km * 1.25, 6) AS max_km, coalesce(t.n, 0) AS n_prior, round(coalesce(t.km, 0), 6) AS km, round(coalesce(t.hours, 0), 6) AS hours, round(coalesce(t.v, 0), 6) AS avg_speed,
+SELECT a.activity_id, round(a.total_distance_km * 0.75, 9) AS min_km, round(a.total_distance_km * 1.25, 9) AS max_km, coalesce(t.n, 0) AS n_prior, round(coalesce(t.km, 0), 6) AS km, round(coalesce(t.hours, 0), 9) AS hours, round(coalesce(t.v, 0), 6) AS avg_speed,
   round(coalesce(t.hr, 0), 6) AS avg_hr, coalesce(t.mhr, 0) AS max_hr, coalesce(t.vmax, 0) AS best_speed, coalesce(t.up, 0) AS best_ascent, t.last AS last_start_s, coalesce(r.n_7, 0) AS n_7, round(coalesce(r.km_7, 0), 6) AS km_7, round(coalesce(r.v_7, 0), 6) AS speed_7,
   round(least(100.0, coalesce(r.n_28, 0) * 100.0 / 16), 6) AS consistency_pct, coalesce(s.t, 'insufficient data') AS trend_speed, coalesce(h.t, 'insufficient data') AS trend_hr
 FROM activities a LEFT JOIN totals t USING (activity_id) LEFT JOIN recent r USING (activity_id) LEFT JOIN speed_text s USING (activity_id) LEFT JOIN rate_text h USING (activity_id) WHERE a.start_s IS NOT NULL""")
 def j5_a22_progress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(history.progress_summary(A.activities(spark, sf_dir)), "min_km", "max_km", "km", "hours", "avg_speed", "avg_hr", "km_7", "speed_7", "consistency_pct")
+    wide = rounded(history.progress_summary(A.activities(spark, sf_dir)), "min_km", "max_km", "hours", digits=9)
+    return rounded(wide, "km", "avg_speed", "avg_hr", "km_7", "speed_7", "consistency_pct")
 
 
 RECENT = f"""{A.with_ctes('activities', 'analyses')}, done AS (SELECT * FROM activities WHERE activity_id IN (SELECT activity_id FROM analyses) AND start_s IS NOT NULL
@@ -215,11 +216,11 @@ HMS = "CASE WHEN {s} // 3600 < 10 THEN '0' ELSE '' END || ({s} // 3600) || ':' |
 
 
 @query(f"""{ACT}, t AS (SELECT *, CAST(floor(total_timer_s + 0.5) AS BIGINT) AS s FROM activities)
-SELECT activity_id, {HMS.format(s='s')} AS hms, (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock, strftime(start_ts, '%Y-%m-%d %H:%M') AS started, CAST(start_ts AS DATE) AS day,
+SELECT activity_id, {HMS.format(s='s')} AS hms, (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock, strftime(start_ts, '%Y-%m-%d %H:%M') AS started, strftime(start_ts, '%Y-%m-%d') AS day,
   floor(total_distance_km * 10 + 0.5) / 10 AS km1, least(greatest(total_distance_km, 5), 30) AS clamped, CAST(least(greatest(floor(total_timer_s / 3600 * 10 + 0.5), 10), 150) AS DOUBLE) AS budget FROM t""")
 def h2_h8_h16_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.activities(spark, sf_dir).select(
-        "activity_id", S.format_hms("total_timer_s").alias("hms"), S.format_clock("total_timer_s").alias("clock"), F.date_format("start_ts", "yyyy-MM-dd HH:mm").alias("started"), S.to_date_only(F.col("start_ts").cast("string")).alias("day"),
+        "activity_id", S.format_hms("total_timer_s").alias("hms"), S.format_clock("total_timer_s").alias("clock"), F.date_format("start_ts", "yyyy-MM-dd HH:mm").alias("started"), S.to_date_only(F.col("start_ts").cast("string")).cast("string").alias("day"),
         S.round_to("total_distance_km", 1).alias("km1"), S.clamp("total_distance_km", 5.0, 30.0).alias("clamped"), S.segment_line_budget("total_timer_s").alias("budget"),
     )
 

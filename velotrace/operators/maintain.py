@@ -44,14 +44,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
 
     With ``patch`` a NULL in a new row leaves the stored value.
     """
-    o, n = old.alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
+    o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     joined = o.join(n, on, "full_outer")
     given, out = F.coalesce("_new", F.lit(False)), []
     for c in old.columns:
         a, b = F.col(f"o.{c}"), F.col(f"n.{c}") if c in new.columns else F.lit(None)
-        if c in keys or c in fill or c in keep:
+        if c in keys or c in fill:
             out.append(F.coalesce(a, b).alias(c))
+        elif c in keep:
+            out.append(F.when(F.col("_old"), a).otherwise(b).alias(c))
         elif patch:
             out.append(F.coalesce(b, a).alias(c))
         else:
