@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 EXACT_UNTIL = 32_768
 _CELLS = 1024
 #: Rows of a hash slice, as expected.
@@ -114,7 +116,8 @@ def pack(
     given). Batches are numbered from 0 inside each bucket, slots from 0
     inside each batch.
     """
-    lengths = docs.select(F.col(id_col), (word_count(F.col(text_col)) if length is None else length.cast("long")).alias("n_tokens"))
+    # counted once; what follows reads ids and lengths only
+    lengths = cut(docs.select(F.col(id_col), (word_count(F.col(text_col)) if length is None else length.cast("long")).alias("n_tokens")), "packing-lengths")
     cells = histogram(lengths, exact_until)
     bounds = best_bounds(cells, n_buckets) or [0]
     sizes = [0] * len(bounds)
