@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     """Fit on the rows of ``docs`` where ``use`` holds and ``labels`` has a label of 0 or 1."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("quality"))
     learned = docs.where(use).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = cut(learned.join(marks, id_col).select("text", "quality"), "quality-rows")
+    # labels grow with the corpus, so they are never broadcast, not even where they happen to be few
+    rows = cut(learned.hint("merge").join(marks.hint("merge"), id_col).select("text", "quality"), "quality-rows")
     found = rows.mapInPandas(_bucket_counts, "quality int, bucket int, n long").groupBy("quality", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[found["quality"], found["bucket"]] = found["n"]
