@@ -121,3 +121,38 @@ def slices(texts: Sequence[str], budget: int = 4_000_000) -> Iterator[tuple[int,
 def held_out(id_col: str):
     """True where crc32 of the id as text is divisible by 5 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches of this session hold ``rows`` rows at most, to bound the memory of Python workers.
+
+    A smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+class Store:
+    """Bounded memory of a worker: two generations of at most ``cap`` entries.
+
+    An entry that is used again moves to the young generation, so frequent
+    ones stay when the old generation is let go.
+    """
+
+    def __init__(self, cap: int):
+        self.cap, self.young, self.old = cap, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.cap:
+            self.old, self.young = self.young, {}
+        self.young[key] = value

@@ -1,11 +1,12 @@
 """Token counts by dynamic programming over a trie of distinct pre-tokens.
 
-Each worker keeps a trie of the pre-tokens it has met. A node stands for a
-prefix and stores its best unigram score and the number of pieces on that
-path, computed once from the nodes above it, however many pre-tokens share the
-prefix; a pre-token's count is that of its last node. The trie is bounded: it
-starts afresh beyond ``_NODES`` nodes, and pre-tokens of over ``_LONG``
-characters take a path of their own that is not kept.
+The distinct pre-tokens of a block of texts form a trie, which is walked depth
+first: in sorted order, with the nodes of the current path on a stack. A node
+stands for a prefix and holds its best unigram score, the number of pieces on
+that path, and the starts from which a piece may still reach further down; it
+is computed once from the nodes above it, however many pre-tokens share the
+prefix. The count at a pre-token's last node is stored, in a store of bounded
+size that keeps frequent pre-tokens from block to block.
 
 Counts are those of the ``sentencepiece`` operator's encoding (same scores,
 byte fallback and rule for ties), without any ids being made.
@@ -16,59 +17,73 @@ empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Store, bounded_batches, slices
 from .sentencepiece import DEFAULT_MODEL, Pieces, pre_tokens, shipped
 
-_NODES, _LONG, _KEEP = 1_000_000, 200, 300_000
+_LONG, _KEEP = 200, 200_000
+_NEVER = float("-inf")
 
 
 class CountTrie:
-    """Nodes are [children, best score, pieces]; the root has score 0 and no pieces."""
+    """Counts of pre-tokens, by depth-first walks over the trie of those not met before."""
 
     def __init__(self, vocabulary: Pieces):
         self.v = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
-        self.root, self.size, self.counts = [{}, 0.0, 0], 1, {}
-
-    def _grow(self, word: str, end: int, path: list) -> list:
-        """The node of ``word[:end]`` from the nodes of its shorter prefixes."""
-        pieces, best, count = self.v.pieces, float("-inf"), 0
-        for start in range(max(0, end - self.v.longest), end):  # the longest piece first
-            found = pieces.get(word[start:end])
-            if found is not None and (s := path[start][1] + found[1]) > best:
-                best, count = s, path[start][2] + 1
-        if word[end - 1] not in pieces and (s := path[end - 1][1] + self.v.unknown) > best:
-            best, count = s, path[end - 1][2] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-        return [{}, best, count]
-
-    def insert(self, word: str) -> int:
-        """Pieces of a pre-token; new nodes only are computed."""
-        kept = len(word) <= _LONG
-        node, path = self.root, [self.root]
-        for end in range(1, len(word) + 1):
-            after = node[0].get(word[end - 1]) if kept else None
-            if after is None:
-                after = self._grow(word, end, path)
-                if kept:
-                    node[0][word[end - 1]] = after
-                    self.size += 1
-            path.append(after)
-            node = after
-        if kept:
-            self.counts[word] = node[2]
-        return node[2]
-
-    def count(self, words: list[str]) -> int:
-        if self.size > _NODES or len(self.counts) > _KEEP:
-            self.clear()
-        stored = self.counts
-        return sum([stored[w] if w in stored else self.insert(w) for w in words])
+        self.unknown, self.single = vocabulary.unknown, {p for p in vocabulary.pieces if len(p) == 1}
+        # every prefix of a piece -> the score, where the prefix is a piece itself
+        self.prefixes: dict[str, float] = {p[:n]: _NEVER for p in vocabulary.pieces for n in range(1, len(p))}
+        self.prefixes |= {p: s for p, (_, s) in vocabulary.pieces.items()}
+        self.store = Store(_KEEP)
+
+    def walk(self, words: list[str]) -> list[int]:
+        """Pieces of each of the sorted words."""
+        prefixes, single, unknown = self.prefixes, self.single, self.unknown
+        best, count, reach = [0.0], [0], [[]]  # the path's nodes; index 0 is the root
+        out, last = [], ""
+        for word in words:
+            shared, most = 0, min(len(last), len(word))
+            while shared < most and last[shared] == word[shared]:
+                shared += 1
+            del best[shared + 1 :], count[shared + 1 :], reach[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                top, n, live = _NEVER, 0, []
+                for start in (*reach[-1], end - 1):  # the longest piece first
+                    score = prefixes.get(word[start:end])
+                    if score is not None:
+                        live.append(start)
+                        if score + best[start] > top:
+                            top, n = score + best[start], count[start] + 1
+                if word[end - 1] not in single and unknown + best[end - 1] > top:
+                    top, n = unknown + best[end - 1], count[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
+                best.append(top)
+                count.append(n)
+                reach.append(live)
+            out.append(count[-1])
+            last = word
+        return out
+
+    def counts(self, texts: list[list[str]]) -> list[int]:
+        """Pieces of each text, given its pre-tokens."""
+        known, new = {}, []
+        for w in set(chain.from_iterable(texts)):
+            found = self.store.get(w)
+            if found is None:
+                new.append(w)
+            else:
+                known[w] = found
+        new.sort()
+        for w, n in zip(new, self.walk(new), strict=True):
+            known[w] = n
+            if len(w) <= _LONG:
+                self.store.put(w, n)
+        return [sum(map(known.__getitem__, words)) for words in texts]
 
 
 _WORKER: dict[int, CountTrie] = {}
@@ -87,10 +102,10 @@ def counter(vocabulary: Broadcast):
 
     @F.pandas_udf("n_tokens long, n_pre_tokens long")
     def count(texts: pd.Series) -> pd.DataFrame:
-        trie, rows = _trie(vocabulary.value), []
-        for text in texts:
-            words = pre_tokens(text)
-            rows.append((trie.count(words), len(words)))
+        trie, rows, whole = _trie(vocabulary.value), [], texts.tolist()
+        for a, b in slices(whole):
+            words = [pre_tokens(t) for t in whole[a:b]]
+            rows += zip(trie.counts(words), map(len, words), strict=True)
         return pd.DataFrame(rows, columns=["n_tokens", "n_pre_tokens"])
 
     return lambda text: count(F.coalesce(text, F.lit("")))
@@ -98,5 +113,6 @@ def counter(vocabulary: Broadcast):
 
 def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, n_pre_tokens`` of every row."""
+    bounded_batches(docs.sparkSession)
     count = counter(shipped(docs.sparkSession, model))
     return docs.select(F.col(id_col), count(F.col(text_col)).alias("c")).select(id_col, "c.*")
