@@ -20,6 +20,7 @@ tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -30,12 +31,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Store, bounded_batches
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A pre-token: word marks with what follows up to the next mark, or a line feed.
 _PRE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Longer runs are pre-tokens like any other, but their paths are not stored.
-_LONG, _KEEP = 200, 300_000
+_LONG, _KEEP = 200, 150_000
 
 
 @dataclass
@@ -92,7 +95,7 @@ class Encoder:
         for p, (i, s) in vocabulary.pieces.items():
             self.automaton.add_word(p, (len(p), i, s))
         self.automaton.make_automaton()
-        self.store: dict[str, tuple[bytes, int, int, float]] = {}
+        self.store = Store(_KEEP)
 
     def viterbi(self, text: str) -> tuple[list[int], int, float]:
         """Ids of the best path, how many of them are byte pieces, and its score."""
@@ -132,22 +135,20 @@ class Encoder:
             at -= size
         return ids[::-1], n_bytes, best[n]
 
-    def path(self, word: str) -> tuple[bytes, int, int, float]:
-        """(ids as 32-bit integers, pieces, byte pieces, score) of a pre-token."""
+    def path(self, word: str) -> tuple[bytes, int, float]:
+        """(ids as 32-bit integers, byte pieces, score) of a pre-token."""
         found = self.store.get(word)
         if found is None:
             ids, n_bytes, score = self.viterbi(word)
-            found = np.array(ids, np.int32).tobytes(), len(ids), n_bytes, score
+            found = array("i", ids).tobytes(), n_bytes, score
             if len(word) <= _LONG:
-                if len(self.store) >= _KEEP:
-                    self.store.clear()
-                self.store[word] = found
+                self.store.put(word, found)
         return found
 
     def encode(self, text: str | None) -> tuple[np.ndarray, int, float]:
         paths = [self.path(w) for w in pre_tokens(text)]
         ids = np.frombuffer(b"".join([p[0] for p in paths]), np.int32)
-        return ids, sum(p[2] for p in paths), float(sum(p[3] for p in paths))
+        return ids, sum([p[1] for p in paths]), float(sum([p[2] for p in paths]))
 
 
 def decode_ids(raw: list[bytes], ids) -> str:
@@ -191,6 +192,7 @@ def decoder(vocabulary: Broadcast):
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids, n_pieces, n_byte_pieces, score`` of every row."""
+    bounded_batches(docs.sparkSession)
     vocabulary = shipped(docs.sparkSession, model)
     coded = docs.select(F.col(id_col), encoder(vocabulary)(F.col(text_col)).alias("e")).select(id_col, "e.*")
     return coded.select(id_col, "ids", F.size("ids").alias("n_pieces"), "n_byte_pieces", "score")
