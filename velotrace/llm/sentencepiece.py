@@ -23,6 +23,7 @@ import re
 from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, bounded_batches
+from .common import Store, bounded_batches, slices
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -49,10 +50,17 @@ class Pieces:
     byte_ids: list[int]
     raw: list[bytes]
     unknown: float
-    longest: int = field(init=False)
+    #: Of every id: what it adds to a path's score, and whether it is a byte piece.
+    scores: np.ndarray = field(init=False)
+    is_byte: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.pieces))
+        self.scores, self.is_byte = np.zeros(len(self.raw)), np.zeros(len(self.raw), bool)
+        for i, s in self.pieces.values():
+            self.scores[i] = s
+        self.is_byte[self.byte_ids] = True
+        for byte, i in enumerate(self.byte_ids):  # a character counts once, at its leading byte
+            self.scores[i] = 0.0 if byte & 0xC0 == 0x80 else self.unknown
         for p in self.pieces:
             if "\n" in p or re.search(f"[^{MARK}]{MARK}", p):
                 raise ValueError(f"piece {p!r} crosses pre-tokens")
@@ -95,60 +103,61 @@ class Encoder:
         for p, (i, s) in vocabulary.pieces.items():
             self.automaton.add_word(p, (len(p), i, s))
         self.automaton.make_automaton()
+        self.single = {p for p in vocabulary.pieces if len(p) == 1}
         self.store = Store(_KEEP)
 
-    def viterbi(self, text: str) -> tuple[list[int], int, float]:
-        """Ids of the best path, how many of them are byte pieces, and its score."""
+    def viterbi(self, text: str) -> list[int]:
+        """Ids of the best path."""
         n = len(text)
         best, back = [-np.inf] * (n + 1), [None] * (n + 1)
-        best[0], done = 0.0, 0
-
-        def fall_back(upto: int) -> None:
-            for end in range(done + 1, upto + 1):
-                if single[end] or best[end - 1] == -np.inf:
-                    continue
-                s = best[end - 1] + self.v.unknown
+        best[0] = 0.0
+        if self.single.issuperset(text):
+            for last, piece in self.automaton.iter(text):
+                end = last + 1
+                s = best[end - piece[0]] + piece[2]
                 if s > best[end]:
-                    best[end], back[end] = s, (1, None)
-
-        single = bytearray(n + 1)
-        for last, (size, i, score) in self.automaton.iter(text):
-            end = last + 1
-            if end > done + 1:
-                fall_back(end - 1)
-                done = end - 1
-            s = best[end - size] + score
-            if size == 1:
-                single[end] = 1
-            if s > best[end]:
-                best[end], back[end] = s, (size, i)
-        fall_back(n)
-        ids, n_bytes, at = [], 0, n
+                    best[end], back[end] = s, piece
+        else:
+            done = 0
+            for last, piece in self.automaton.iter(text):
+                if last > done:  # nothing more ends before this position
+                    self._fall_back(text, best, back, done, last)
+                    done = last
+                s = best[last + 1 - piece[0]] + piece[2]
+                if s > best[last + 1]:
+                    best[last + 1], back[last + 1] = s, piece
+            self._fall_back(text, best, back, done, n)
+        ids, at = [], n
         while at:
-            size, i = back[at]
+            size, i, _ = back[at]
             if i is None:
-                raw = text[at - 1].encode("utf-8", "surrogatepass")
-                ids += [self.v.byte_ids[b] for b in reversed(raw)]
-                n_bytes += len(raw)
+                ids += [self.v.byte_ids[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
             else:
                 ids.append(i)
             at -= size
-        return ids[::-1], n_bytes, best[n]
-
-    def path(self, word: str) -> tuple[bytes, int, float]:
-        """(ids as 32-bit integers, byte pieces, score) of a pre-token."""
-        found = self.store.get(word)
-        if found is None:
-            ids, n_bytes, score = self.viterbi(word)
-            found = array("i", ids).tobytes(), n_bytes, score
-            if len(word) <= _LONG:
-                self.store.put(word, found)
-        return found
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, int, float]:
-        paths = [self.path(w) for w in pre_tokens(text)]
-        ids = np.frombuffer(b"".join([p[0] for p in paths]), np.int32)
-        return ids, sum([p[1] for p in paths]), float(sum([p[2] for p in paths]))
+        return ids[::-1]
+
+    def _fall_back(self, text: str, best: list, back: list, done: int, upto: int) -> None:
+        """Bytes for the characters after ``done`` that are no piece themselves."""
+        for end in range(done + 1, upto + 1):
+            if text[end - 1] not in self.single and (s := best[end - 1] + self.v.unknown) > best[end]:
+                best[end], back[end] = s, (1, None, s)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, int, float]]:
+        """(ids, byte pieces, score) of each text; each distinct pre-token's path is found once."""
+        words, known = [pre_tokens(t) for t in texts], {}
+        for w in set(chain.from_iterable(words)):
+            found = self.store.get(w)
+            if found is None:
+                found = array("i", self.viterbi(w)).tobytes()
+                if len(w) <= _LONG:
+                    self.store.put(w, found)
+            known[w] = found
+        out = []
+        for own in words:
+            ids = np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32)
+            out.append((ids, int(self.v.is_byte[ids].sum()), float(self.v.scores[ids].sum())))
+        return out
 
 
 def decode_ids(raw: list[bytes], ids) -> str:
@@ -173,8 +182,10 @@ def encoder(vocabulary: Broadcast):
 
     @F.pandas_udf("ids array<int>, n_byte_pieces int, score double")
     def encode(texts: pd.Series) -> pd.DataFrame:
-        e = _encoder(vocabulary.value)
-        return pd.DataFrame([e.encode(t) for t in texts], columns=["ids", "n_byte_pieces", "score"])
+        e, whole, rows = _encoder(vocabulary.value), texts.tolist(), []
+        for a, b in slices(whole):
+            rows += e.encode(whole[a:b])
+        return pd.DataFrame(rows, columns=["ids", "n_byte_pieces", "score"])
 
     return lambda text: encode(F.coalesce(text, F.lit("")))
 
