@@ -28,17 +28,17 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 WINDOW = 24
 UNKNOWN = "und"
 #: Runs of letters; a longer run is read in parts, so that no store entry is large.
 _LETTERS = re.compile(r"[^\W\d_]{1,200}")
 #: Windows whose sums a worker keeps at most; beyond it the store starts afresh.
-_KEEP = 400_000
+_KEEP = 200_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -235,6 +235,7 @@ def label(model: ByteGru, key: str, texts: list[str | None]) -> tuple[list[str],
 def predictor(model: ByteGru):
     """Column function: text -> struct(lang_pred, score)."""
     key = model.digest()
+    bounded_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -26,10 +26,10 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import bounded_batches, cut, discard
 
 BUCKETS = 1 << 16
 CUT = 0.3
@@ -186,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
 
 def scorer(model: Nbsvm):
     """Column function: text -> score between 0 and 1."""
+    bounded_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
