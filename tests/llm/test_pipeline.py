@@ -32,3 +32,16 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len({r["doc_id"] for r in rows}) == len(rows) > 100
+
+
+def test_near_copies_by_row(spark):
+    """Null ids and different texts under one id are judged each for itself; one row of each group stays."""
+    long = " ".join(f"word{i}" for i in range(300))
+    other = " ".join(f"term{i * 7}" for i in range(300))
+    third = " ".join(f"item{i * 3}" for i in range(300))
+    rows = [(5, long), (3, long), (5, other), (None, third), (None, third), (None, long), (9, None), (8, ""), (7, long), (7, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    left = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, long), (5, other), (None, third), (8, "")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
