@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import heart, history, maintain, power, summary
 from ..sources import adapters as A
-from .registry import query, rounded
+from .registry import ORACLE_SQL, query, rounded
 
 ACT = A.with_ctes("activities")
 
@@ -89,12 +89,12 @@ def t1_activity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(activities: DataFrame) -> DataFrame:
-    rows = activities.where("activity_id % 2 = 0 AND start_s IS NOT NULL")
+    rows = activities.where("start_s IS NOT NULL")
     return rows.select("athlete_id", "activity_id", "start_s", (0.97 + F.col("activity_id") % 7 * 0.01).alias("ratio"), (F.col("total_distance_km") / 10).alias("trusted_km"))
 
 
 @query(f"""{A.with_ctes('activities', 'athletes')}, s AS (SELECT athlete_id, 0.97::DOUBLE + activity_id % 7 * 0.01::DOUBLE AS ratio, total_distance_km / 10 AS km, row_number() OVER w AS n, coalesce(sum(total_distance_km / 10) OVER (PARTITION BY athlete_id ORDER BY start_s DESC, activity_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
-  FROM activities WHERE activity_id % 2 = 0 AND start_s IS NOT NULL WINDOW w AS (PARTITION BY athlete_id ORDER BY start_s DESC, activity_id DESC)
+  FROM activities WHERE start_s IS NOT NULL WINDOW w AS (PARTITION BY athlete_id ORDER BY start_s DESC, activity_id DESC)
 ), g AS (SELECT athlete_id, sum(km) AS t, sum(ratio * km) / sum(km) AS r FROM s WHERE n <= 15 AND prior < 20 GROUP BY athlete_id)
 SELECT athlete_id, floor(r * 10000 + 0.5) / 10000 AS ratio, floor((r - 1) * 100 * 10 + 0.5) / 10 AS deviation_pct, floor(t * 10 + 0.5) / 10 AS trusted_km, wheel_mm AS current_mm, floor(wheel_mm / r * 10 + 0.5) / 10 AS recommended_mm
 FROM g LEFT JOIN athletes USING (athlete_id) WHERE t >= 15 AND abs(r - 1) * 100 > 1""")
@@ -302,10 +302,12 @@ def h19_chat_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.chats(spark, sf_dir).select("activity_id", F.size(added).cast("long").alias("n"))
 
 
-@query("""WITH p AS (SELECT doc_id AS activity_id, 'Intro' || chr(10) || '**Summary:** ' || lang || chr(10) || text || chr(10) || '**Advice** rest' AS t, lang, text FROM documents)
-SELECT activity_id, 'Preamble:6,Summary:' || (length(lang) + length(text) + 15) || ',Advice:15' AS blocks, CAST(length(t) AS BIGINT) AS total FROM p WHERE text NOT LIKE '%**%'""")
+@query("""WITH p AS (SELECT doc_id AS activity_id, 'Intro' || chr(10) || '**Summary:** ' || lang || chr(10) || text || chr(10) || '**Advice** rest' AS t FROM documents
+), b AS (SELECT activity_id, t, string_split(regexp_replace(coalesce(t, ''), '(?m)^(\\*\\*[^\\n]+?\\*\\*)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM p)
+SELECT activity_id, coalesce(array_to_string(list_transform(list_filter(parts, lambda x: length(x) > 0), lambda x: CASE WHEN regexp_matches(x, '^\\*\\*[^\\n]+?\\*\\*')
+  THEN regexp_replace(regexp_extract(x, '^\\*\\*([^\\n]+?)\\*\\*', 1), ':$', '') ELSE 'Preamble' END || ':' || CAST(length(x) AS VARCHAR)), ','), '') AS blocks, CAST(length(t) AS BIGINT) AS total FROM b""")
 def h22_prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents").where(~F.col("text").contains("**"))
+    docs = A.table(spark, sf_dir, "documents")
     text = F.concat(F.lit("Intro\n**Summary:** "), "lang", F.lit("\n"), "text", F.lit("\n**Advice** rest"))
     rows = docs.select(F.col("doc_id").alias("activity_id"), text.alias("t")).withColumn("b", X.prompt_blocks("t"))
     listed = F.array_join(F.transform("b", lambda x: F.concat(x["title"], F.lit(":"), x["chars"].cast("string"))), ",")
@@ -321,11 +323,11 @@ def h23_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT vec_id AS id, CASE WHEN abs(v) >= 1000 THEN printf('%.0f', v) WHEN abs(v) >= 100 THEN printf('%.1f', v) WHEN abs(v) >= 10 THEN printf('%.2f', v) ELSE printf('%.3f', v) END AS t
-FROM (SELECT vec_id, CAST(vec_id % 1501 AS DOUBLE) * CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END / 4 AS v FROM embeddings) e WHERE vec_id % 4 = 0""")
+FROM (SELECT vec_id, CAST(vec_id % 6007 AS DOUBLE) * CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END / 3 AS v FROM embeddings) e""")
 def h5_format_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarters of every fourth id, so that no digit is halfway and both engines print alike."""
-    v = (F.col("vec_id") % 1501).cast("double") * F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1) / 4
-    return A.table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("id"), S.format_number(v).alias("t"))
+    """Thirds of all ids, so that no digit is halfway and both engines print alike."""
+    v = (F.col("vec_id") % 6007).cast("double") * F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1) / 3
+    return A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), S.format_number(v).alias("t"))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,12 +339,29 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent.join(other, "other_id").join(texts, "other_id").join(counts, "other_id", "left")
 
 
-@query()
+HISTORY = f"""{RECENT}, talks AS (SELECT conv_id AS other_id, count(*) FILTER (WHERE role = 'user') AS n FROM conversations GROUP BY conv_id
+), entries AS (SELECT r.activity_id, r.other_start_s AS s, r.other_id, strftime(make_timestamp(r.other_start_s * 1000000), '%Y-%m-%d') AS day, n.analysis_text, t.n AS asked,
+    printf('%.1f', o.total_distance_km) || ' km, ' || {HMS.format(s='CAST(floor(o.total_timer_s + 0.5) AS BIGINT)')} AS brief, row_number() OVER (PARTITION BY r.activity_id ORDER BY r.other_start_s DESC, r.other_id DESC) AS newest
+  FROM recent r JOIN activities o ON o.activity_id = r.other_id JOIN analyses n ON n.activity_id = r.other_id LEFT JOIN talks t ON t.other_id = r.other_id
+), history AS (SELECT activity_id, '**Recent Activity History (earlier workouts, oldest first):**' || chr(10) || string_agg(CASE WHEN newest > 4 THEN day || ': ' || brief
+    ELSE day || ' (' || brief || '):' || chr(10) || trim(coalesce(analysis_text, '')) || CASE WHEN asked > 0 THEN chr(10) || '  (follow-up chat: ' || CAST(asked AS VARCHAR) || ' questions)' ELSE '' END END, chr(10) || chr(10) ORDER BY s, other_id) AS text
+  FROM entries GROUP BY activity_id)"""
+
+
+@query(f"{HISTORY} SELECT activity_id, text FROM history")
 def t4_recent_history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.recent_history_text(_entries(spark, sf_dir))
 
 
-@query()
+@query(f"""{HISTORY}, progress AS ({ORACLE_SQL['j5_a22_progress_summary']}
+), said AS (SELECT conv_id AS activity_id, CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS newest
+  FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''
+), chat AS (SELECT activity_id, string_agg(line, chr(10) ORDER BY newest DESC) AS text FROM said WHERE newest <= 8 GROUP BY activity_id
+), measures AS (SELECT activity_id, concat_ws(chr(10), CASE WHEN total_distance_km > 0 THEN '- Distance: ' || printf('%.1f', total_distance_km) || ' km' END, '- Duration: ' || {HMS.format(s='CAST(floor(total_timer_s + 0.5) AS BIGINT)')},
+    CASE WHEN coalesce(manual_avg_hr, avg_hr) > 0 THEN '- Average HR: ' || printf('%.0f', coalesce(manual_avg_hr, avg_hr)) || ' bpm' END) AS text FROM activities)
+SELECT p.activity_id, concat_ws(chr(10) || chr(10), m.text, concat_ws(chr(10), '- Earlier rides: ' || CAST(nullif(p.n_prior, 0) AS VARCHAR), '- Speed trend: ' || p.trend_speed, '- HR trend: ' || p.trend_hr), h.text, n.analysis_text, c.text) AS document,
+  p.n_prior AS prior_activity_count, p.n_prior >= 3 AS has_trend_evidence
+FROM progress p LEFT JOIN measures m USING (activity_id) LEFT JOIN history h USING (activity_id) LEFT JOIN analyses n USING (activity_id) LEFT JOIN chat c USING (activity_id)""")
 def t7_context_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents for a model of all dated activities: measures, progress, history, last analysis, chat."""
     activities = A.activities(spark, sf_dir)

@@ -126,14 +126,13 @@ def p7_p8_record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{GRADED}, est AS (
   SELECT *, CASE WHEN dt > 0 AND dt <= 5 AND step_ms >= 0.5 AND abs(grade) <= 0.18 THEN least(1200, greatest(0, 85 * 9.80665 * sin(atan(grade)) * step_ms
     + 85 * 9.80665 * 0.004 * cos(atan(grade)) * step_ms + 0.5 * 1.225 * 0.25 * step_ms * step_ms * step_ms) / 0.97) END AS e FROM graded)
-SELECT activity_id, record_index, round(e, 6) AS estimated, CASE WHEN activity_id % 2 = 0 THEN 'measured' ELSE CASE WHEN count(e) OVER (PARTITION BY activity_id) > 0 THEN 'estimated' ELSE 'unavailable' END END AS power_source
-FROM est WHERE activity_id % 2 = 1 OR activity_id IN (SELECT activity_id FROM records WHERE power >= 0)""")
+SELECT activity_id, record_index, round(e, 6) AS estimated, CASE WHEN activity_id % 2 = 0 AND activity_id IN (SELECT activity_id FROM records WHERE power >= 0) THEN 'measured' WHEN count(e) OVER (PARTITION BY activity_id) > 0 THEN 'estimated' ELSE 'unavailable' END AS power_source
+FROM est""")
 def g3_g4_estimated_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power from motion; activities of odd id are taken as having no power meter."""
     records = A.records(spark, sf_dir).withColumn("power", F.when(F.col("activity_id") % 2 == 0, F.col("power")))
     filled = series.add_estimated_power(series.compute_grade(records).withColumn("estimated", series.estimate_power(F.lit(75.0), F.lit(10.0))), F.lit(75.0), F.lit(10.0))
-    kept = filled.where((F.col("activity_id") % 2 == 1) | (F.col("power_source") == "measured"))
-    return rounded(kept.select("activity_id", "record_index", "estimated", "power_source"), "estimated")
+    return rounded(filled.select("activity_id", "record_index", "estimated", "power_source"), "estimated")
 
 
 @query(f"""{R}, d AS (SELECT *, lead(coalesce(elapsed_s, 0)) OVER ({W_}) - coalesce(elapsed_s, 0) AS dt FROM records
@@ -252,11 +251,14 @@ def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 ZONE = "(1 + CAST({h} >= CASE WHEN activity_id % 2 = 0 THEN 120 ELSE 190 * 0.6 END AS INT) + CAST({h} >= CASE WHEN activity_id % 2 = 0 THEN 140 ELSE 190 * 0.7 END AS INT) + CAST({h} >= CASE WHEN activity_id % 2 = 0 THEN 160 ELSE 190 * 0.8 END AS INT) + CAST({h} >= CASE WHEN activity_id % 2 = 0 THEN 175 ELSE 190 * 0.9 END AS INT))"
 
 
-@query(f"""{R}, d AS (SELECT *, lead(coalesce(elapsed_s, 0)) OVER ({W_}) - coalesce(elapsed_s, 0) AS dt FROM records
+ZONES = f"""{R}, d AS (SELECT *, lead(coalesce(elapsed_s, 0)) OVER ({W_}) - coalesce(elapsed_s, 0) AS dt FROM records
 ), m AS (SELECT activity_id, coalesce(median(dt) FILTER (WHERE dt > 0 AND dt <= 30), 1) AS med FROM d GROUP BY activity_id
 ), t AS (SELECT activity_id, heart_rate, CASE WHEN dt IS NULL THEN med WHEN dt > 0 AND dt <= 30 THEN dt ELSE 1 END AS s FROM d JOIN m USING (activity_id)
 ), z AS (SELECT activity_id, {ZONE.format(h='heart_rate')} AS zone, sum(s) AS s FROM t WHERE heart_rate >= 95 GROUP BY ALL
-), f AS (SELECT a.activity_id, q.zone, coalesce(z.s, 0) AS s FROM (SELECT DISTINCT activity_id FROM records) a CROSS JOIN range(1, 6) q(zone) LEFT JOIN z ON z.activity_id = a.activity_id AND z.zone = q.zone)
+), f AS (SELECT a.activity_id, q.zone, coalesce(z.s, 0) AS s FROM (SELECT DISTINCT activity_id FROM records) a CROSS JOIN range(1, 6) q(zone) LEFT JOIN z ON z.activity_id = a.activity_id AND z.zone = q.zone)"""
+
+
+@query(f"""{ZONES}
 SELECT activity_id, CAST(zone AS INT) AS zone, round(s, 6) AS seconds, round(CASE WHEN sum(s) OVER (PARTITION BY activity_id) > 0 THEN s / sum(s) OVER (PARTITION BY activity_id) * 100 ELSE 0 END, 6) AS percent FROM f""")
 def h13_h14_a10_zone_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(heart.hr_zone_time(A.records(spark, sf_dir), _limits(spark, sf_dir)), "seconds", "percent")
@@ -372,7 +374,11 @@ def p15_activity_with_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nested.select("activity_id", F.size("records").cast("long").alias("n_records"), total.alias("sum_elapsed")), "sum_elapsed")
 
 
-@query()
+@query(f"""{ZONES}, l AS (SELECT activity_id, zone, round(s, 6) AS s, round(s / nullif(sum(s) OVER (PARTITION BY activity_id), 0) * 100, 9) AS p,
+    CASE WHEN activity_id % 2 = 0 THEN [95, 120, 140, 160, 175, 191] ELSE [95, 114, 133, 152, 171, 191] END AS low FROM f)
+SELECT activity_id, CASE WHEN sum(s) > 0 THEN '**Time in Heart-Rate Zones:**' || chr(10) || string_agg('- Zone ' || CAST(zone AS VARCHAR) || ' (' || CAST(low[zone] AS VARCHAR) || '-' || CAST(low[zone + 1] - 1 AS VARCHAR) || ' bpm): '
+    || printf('%02d:%02d:%02d', CAST(floor(s + 0.5) AS BIGINT) // 3600, CAST(floor(s + 0.5) AS BIGINT) % 3600 // 60, CAST(floor(s + 0.5) AS BIGINT) % 60) || ' (' || CAST(CAST(floor(p + 0.5) AS BIGINT) AS VARCHAR) || '%)', chr(10) ORDER BY zone)
+  ELSE '**Time in Heart-Rate Zones:** Not available.' END AS text FROM l GROUP BY activity_id""")
 def a25_zone_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = _limits(spark, sf_dir)
     return summary.zone_context(heart.hr_zone_time(A.records(spark, sf_dir), limits), limits)
