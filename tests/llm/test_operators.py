@@ -306,6 +306,27 @@ def test_gru_gradients_are_right():
         assert g[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-3, abs=2e-4), name
 
 
+def test_language_words_with_a_full_store():
+    model = language_id.ByteGru.fresh(["a", "b", "c"], 8, np.random.default_rng(1))
+    words = ["x", "été", "y" * 60, "z" * 22, "w" * 46]
+    for word, got in zip(words, language_id._sums(model, words), strict=True):
+        windows = language_id.windows_of(word)
+        plain = sum(model.probabilities(np.frombuffer(w, np.uint8)[None])[0].sum(0) for w in windows)
+        assert np.allclose(got[:-1], plain, atol=1e-4) and got[-1] == sum(map(len, windows))
+    draws = np.random.default_rng(2).integers(0, 400, (60, 50))
+    texts = [" ".join("abcdefgh"[i % 8] * int(i // 8 + 1) for i in row) for row in draws] + ["", None]
+    whole = language_id.WordSums(model)
+    language_id._STORE.clear()
+    language_id._STORE["k"] = whole
+    langs, scores = language_id.label(model, "k", texts)
+    language_id._STORE["k"] = small = language_id.WordSums(model, 20)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        one = language_id.label(model, "k", [text])
+        assert one[0] == [lang] and np.isclose(one[1][0], score, atol=1e-5)
+    language_id._STORE.clear()
+    assert len(small.numbers) < len(whole.numbers)
+
+
 def test_language_id(spark, docs):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices(WORDS[lang].split(), k=30)), lang) for i, lang in enumerate(list(WORDS) * 40)]

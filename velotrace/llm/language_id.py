@@ -5,8 +5,8 @@ the UTF-8 bytes of one word between two blanks (longer words in windows of
 ``WINDOW`` bytes), the state starts afresh in each window, and both directions
 label every byte position. A document's probabilities are the mean of those of
 all its positions. Since a window's labels depend on nothing but its bytes,
-each worker labels every distinct window once and keeps a bounded store of the
-sums; whole texts are covered whatever their length.
+each worker labels a distinct word once and keeps a bounded store of the sums,
+that of the most used words; whole texts are covered whatever their length.
 
 Training: backpropagation through time with Adam on the windows of a bounded
 sample of labelled rows (``sample_docs`` per language as expected, texts of at
@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,10 @@ WINDOW = 24
 UNKNOWN = "und"
 #: Runs of letters; a longer run is read in parts, so that no store entry is large.
 _LETTERS = re.compile(r"[^\W\d_]{1,200}")
-#: Windows whose sums a worker keeps at most; beyond it the store starts afresh.
+#: Words whose sums a worker keeps between batches at most; beyond it the less used ones go.
 _KEEP = 200_000
+#: Windows that the network reads at once; small, so that their states stay in the processor's cache.
+_AT_ONCE = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ class ByteGru:
         p /= n * steps
         g = {"V": both.reshape(-1, both.shape[2]).T @ p.reshape(-1, k), "c": p.sum((0, 1))}
         down = p @ w["V"].T
-        h = w["Uf"].shape[0]
+        h, one_of = w["Uf"].shape[0], np.eye(256, dtype=np.float32)
         for d, part in (("f", down[:, :, :h]), ("b", down[:, :, h:])):
             u = w["U" + d]
             gu, ge = np.zeros_like(u), np.zeros_like(w["E" + d])
@@ -121,7 +123,7 @@ class ByteGru:
                 dzr = np.concatenate([dz, dr], 1)
                 gu[:, : 2 * h] += s.T @ dzr
                 gu[:, 2 * h :] += (r * s).T @ dc
-                np.add.at(ge, x[:, t], np.concatenate([dzr, dc], 1))
+                ge += one_of[x[:, t]].T @ np.concatenate([dzr, dc], 1)
                 back = ds * z + drs * r + dzr @ u[:, : 2 * h].T
             g |= {"U" + d: gu, "E" + d: ge, "B" + d: ge.sum(0)}
         return loss, g
@@ -182,24 +184,60 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, use: Colum
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], **options)
 
 
-#: Of this worker process: model digest -> (window store, sums of probabilities, positions).
-_STORE: dict[str, tuple[dict[str, int], np.ndarray, int]] = {}
-
-
 def _sums(model: ByteGru, words: list[str]) -> np.ndarray:
     """For each word the summed probabilities of its positions, then their number."""
-    windows = [(i, win) for i, word in enumerate(words) for win in windows_of(word)]
-    out = np.zeros((len(words), len(model.languages) + 1))
-    by_length: dict[int, list[int]] = {}
-    for at, (_, win) in enumerate(windows):
-        by_length.setdefault(len(win), []).append(at)
-    for n, group in by_length.items():
-        for k in range(0, len(group), 4096):
-            part = group[k : k + 4096]
-            x = np.frombuffer(b"".join(windows[j][1] for j in part), np.uint8).reshape(len(part), n)
-            p = model.probabilities(x).sum(1)
-            np.add.at(out, [windows[j][0] for j in part], np.column_stack([p, np.full(len(part), n)]))
-    return out
+    parts = [windows_of(word) for word in words]
+    windows = list(chain.from_iterable(parts))
+    each = np.zeros((len(windows), len(model.languages) + 1))
+    each[:, -1] = np.fromiter(map(len, windows), np.int64, len(windows))
+    for n in np.unique(each[:, -1]).astype(int).tolist():
+        group = np.flatnonzero(each[:, -1] == n)
+        for k in range(0, len(group), _AT_ONCE):
+            part = group[k : k + _AT_ONCE]
+            x = np.frombuffer(b"".join(windows[j] for j in part.tolist()), np.uint8).reshape(len(part), n)
+            each[part, :-1] = model.probabilities(x).sum(1)
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.add.reduceat(each, np.cumsum(counts) - counts, axis=0)
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class WordSums:
+    """A worker's store: for each distinct word the summed probabilities of its positions and their number."""
+
+    def __init__(self, model: ByteGru, keep: int = _KEEP):
+        self.model, self.keep = model, keep
+        self.numbers, self.sums, self.uses = _Numbers(), np.zeros((0, len(model.languages) + 1)), np.zeros(0, np.int64)
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """Rows of ``sums`` for all words; those not met before are labelled now."""
+        if len(self.numbers) > self.keep:
+            self._forget()
+        known = len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.numbers) > known:
+            self.sums = np.concatenate([self.sums, _sums(self.model, list(islice(self.numbers, known, None)))])
+        uses = np.bincount(at, minlength=len(self.numbers))
+        uses[:known] += self.uses
+        self.uses = uses
+        return at
+
+    def _forget(self) -> None:
+        """Keep the more used half; their uses count half from then on, so that old favourites fade."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.keep // 2])
+        words = list(self.numbers)
+        self.numbers = _Numbers((words[i], n) for n, i in enumerate(stay.tolist()))
+        self.sums, self.uses = self.sums[stay], self.uses[stay] // 2
+
+
+#: Of this worker process: model digest -> store.
+_STORE: dict[str, WordSums] = {}
 
 
 def label(model: ByteGru, key: str, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -210,23 +248,14 @@ def label(model: ByteGru, key: str, texts: list[str | None]) -> tuple[list[str],
     texts = [t or "" for t in texts]
     if key not in _STORE:
         _STORE.clear()
-        _STORE[key] = {}, np.zeros((1024, len(model.languages) + 1)), 0
+        _STORE[key] = WordSums(model)
+    store = _STORE[key]
     for start, end in slices(texts):
-        words = [_LETTERS.findall(t.lower()) for t in texts[start:end]]
-        store, table, used = _STORE[key]
-        if used > _KEEP:
-            store, used = {}, 0
-        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in store]
-        if new:
-            if used + len(new) > len(table):
-                table = np.concatenate([table[:used], np.zeros((max(used, len(new)) + len(new), table.shape[1]))])
-            table[used : used + len(new)] = _sums(model, new)
-            store.update(zip(new, range(used, used + len(new)), strict=True))
-            used += len(new)
-        _STORE[key] = store, table, used
-        for i, found in enumerate(words, start):
-            if found:
-                total = table[np.fromiter(map(store.__getitem__, found), np.int64, len(found))].sum(0)
+        found = [_LETTERS.findall(t.lower()) for t in texts[start:end]]
+        at, ends = store.rows_of(list(chain.from_iterable(found))), np.cumsum([len(words) for words in found]).tolist()
+        for i, words, stop in zip(range(start, end), found, ends, strict=True):
+            if words:
+                total = store.sums[at[stop - len(words) : stop]].sum(0)
                 p = total[:-1] / total[-1]
                 pred[i], score[i] = model.languages[int(p.argmax())], min(1.0, float(p.max()))
     return pred, score
