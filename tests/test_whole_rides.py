@@ -2,10 +2,12 @@
 
 import math
 
+import duckdb
 import pytest
 from test_rides import ride
 
 from velotrace import jobs
+from velotrace.operators import summary
 from velotrace.sources import adapters as A
 
 
@@ -32,3 +34,27 @@ def test_route_stats_of_all_fixes(spark, long_ride):
 def test_overlay_keeps_all_points(spark, long_ride):
     got = jobs.QUERIES["t5_overlay_metrics"](spark, "")
     assert {r["channel"]: r["count"] for r in got.groupBy("channel").count().collect()} == {"speed_kmh": 7000, "altitude_m": 7000}
+
+
+NEXT_SQL = "SELECT * FROM (SELECT user_id AS l, lead(user_id) OVER (ORDER BY user_id) AS r FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) t) p WHERE r IS NOT NULL"
+
+
+def test_compare_pairs_each_with_the_next(spark):
+    sf = "/root/testdata/sf0.001"
+    want = duckdb.sql(NEXT_SQL.replace("events", f"read_parquet('{sf}/events.parquet')")).fetchall()
+    got = jobs.QUERIES["j9_compare_activities"](spark, sf).groupBy("left_id", "right_id").count().collect()
+    assert len(want) > 10 and sorted((r["left_id"], r["right_id"]) for r in got) == sorted(want) and len({r["count"] for r in got}) == 1
+
+
+def test_next_activities_over_many_ranges(spark):
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        ids = [i * i for i in range(200)] + [4, None]
+        pairs = summary.next_activities(spark.createDataFrame([(i,) for i in ids], "activity_id long")).collect()
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+    assert sorted((r["left_id"], r["right_id"]) for r in pairs) == [(i * i, (i + 1) ** 2) for i in range(199)]
+    assert summary.next_activities(spark.createDataFrame([], "activity_id long")).count() == 0

@@ -354,9 +354,7 @@ def a1_activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j9_compare_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every activity beside the next one by id."""
     measures = summary.activity_summary(A.records(spark, sf_dir), _context(spark, sf_dir))
-    w = W.partitionBy(F.pmod("activity_id", F.lit(64))).orderBy("activity_id")
-    pairs = measures.select(F.col("activity_id").alias("left_id"), F.lead("activity_id").over(w).alias("right_id")).where("right_id IS NOT NULL")
-    return summary.compare_activities(measures, pairs)
+    return summary.compare_activities(measures, summary.next_activities(_context(spark, sf_dir)))
 
 
 @query()
