@@ -323,9 +323,9 @@ def w13_macro_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def w17_w18_a13_trusted_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trusted windows (of 20 s here) and the wheel ratio they give."""
+    """Trusted windows (of 20 s here, under the operator's own rules of acceptance) and the wheel ratio they give."""
     records = A.records(spark, sf_dir)
-    windows = segments.trusted_speed_windows(records, seconds=20.0, min_km=0.05, tolerance=1000.0, coverage=0.5, acceleration=1e9)
+    windows = segments.trusted_speed_windows(records, seconds=20.0, min_km=0.05)
     shares = segments.speed_confidence(records, windows).groupBy("activity_id").agg(F.count_if(F.col("confidence") == "high").alias("n_high"))
     return rounded(segments.wheel_ratio(windows).join(shares, "activity_id"), "ratio", "trusted_km")
 
