@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -19,11 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    and all work runs on one machine (tests) a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -106,6 +108,11 @@ def _checksum(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def quoted(name: str) -> Column:
+    """A column by its plain name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def slices(texts: Sequence[str], budget: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``budget`` characters, to bound working memory."""
     start, used = 0, 0
@@ -123,17 +130,17 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-BATCH_ROWS = 1_000
-
-
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Arrow batches of this session hold ``rows`` rows at most, to bound the memory of Python workers.
-
-    A smaller setting stays.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like ``stems`` that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, n = stem, 0
+        while name.lower() in taken:
+            n += 1
+            name = f"{stem}_{n}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Store:
