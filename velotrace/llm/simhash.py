@@ -6,7 +6,10 @@ pair of blocks, and two points at distance 2 or less meet at a common point
 within half that radius of both. So every fingerprint emits, for each of the
 three pairs of blocks, all variants within one flipped bit (129 rows); equal
 variants shuffle together, and each colliding pair is verified on all 64 bits.
-Distinct fingerprints only take part, so exact copies cost nothing.
+Every link comes from such a ball: half of radius 3 is no whole number, so the
+blocks first lower the radius to 2. Distinct fingerprints only take part, so
+exact copies cost nothing, and they are dealt out by number before they emit
+their variants, as a few megabytes of them become many rows.
 
 A variant shared by more than ``max_bucket`` fingerprints is not paired up.
 Its fingerprints go through the ball of the whole 64 bits instead: all within
@@ -32,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut
+from .common import connected_components, cut, quoted
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCKS = ((0, 21), (21, 42), (42, 64))
 RADIUS = 3
 #: Shingles whose bits are counted at once, to bound memory on long texts.
 _CHUNK = 100_000
+#: Fingerprints whose variants one task emits, as expected (129 rows of 16 bytes each).
+_EMIT = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -60,13 +65,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id_col, fp``: the fingerprint of every whole text as a signed long."""
+    """``id, fp``: the fingerprint of every whole text as a signed long."""
 
     @F.pandas_udf(T.LongType())
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col), simhash(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
+    return docs.select(quoted(id_col).alias("id"), simhash(F.coalesce(quoted(text_col), F.lit(""))).alias("fp"))
 
 
 def _signed(x: int) -> int:
@@ -103,7 +108,9 @@ def links(fps: DataFrame, max_bucket: int = 256) -> DataFrame:
     the same components.
     """
     flips = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(f).alias("f")) for m, f in _variants()])
-    keyed = fps.select("fp", F.explode(flips).alias("v")).select("fp", F.expr("(fp & v.m) ^ v.f").alias("key"))
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fps.select("fp").repartition(max(width, -(-fps.count() // _EMIT)), "fp")
+    keyed = dealt.select("fp", F.explode(flips).alias("v")).select("fp", F.expr("(fp & v.m) ^ v.f").alias("key"))
     # most variants are alone: drop them after one sort, before anything is gathered
     by_key = "PARTITION BY key ORDER BY fp"
     shared = keyed.selectExpr("key", "fp", f"lag(fp) OVER ({by_key}) AS before", f"lead(fp) OVER ({by_key}) AS after")
@@ -146,7 +153,7 @@ def near_duplicate_groups(
     fingerprints that differ in at most 3 bits.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
-    known = rows.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    known = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-known")
     components = connected_components(links(known.select("fp"), max_bucket), "simhash-components")
     rooted = known.join(components.select(F.col("vertex").alias("fp"), "root"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
@@ -154,5 +161,5 @@ def near_duplicate_groups(
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("component_id"))
     groups = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(groups, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
