@@ -45,3 +45,36 @@ def test_near_copies_by_row(spark):
     assert left.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, long), (5, other), (None, third), (8, "")], key=str)
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def _wide(docs):
+    clash = ("row", "_row", "kept", "rank", "found", "_found", "score", "_score", "_doc", "doc", "n_lines", "kept_text", "lines", "id", "v")
+    return docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in clash], F.create_map(F.lit("k"), "source").alias("m")), clash
+
+
+def test_stages_with_clashing_columns(spark):
+    """Extra columns of any name come out of every stage with the values they had."""
+    docs, clash = _wide(spark.read.parquet(f"{SF}/documents.parquet"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    rows = docs.collect()
+    assert len(rows) > 100 and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in clash) and all(r["m"] == {"k": r["source"]} for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    docs, _ = _wide(spark.read.parquet(f"{SF}/documents.parquet"))
+    for table in (docs.limit(0), docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")), docs.limit(2).withColumn("text", F.lit(None).cast("string"))):
+        table = spark.createDataFrame(table.collect(), table.schema)
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, table, SF).count() <= table.count()
+
+
+def test_one_of_repeated_rows_is_always_the_same(spark):
+    rows = [(1, "a b c d e f", lang, "s", 0) for lang in ("de", "en", "fr", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    left = {tuple(corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(order, schema).repartition(3), SF).first()) for order in (rows, rows[::-1])}
+    assert len(left) == 1

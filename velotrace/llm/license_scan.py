@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 _WORDS = re.compile(r"[^\W_]+")
 #: A statement: (c) with a year or "copyright", or "copyright" before a mark, a year or a holder. Wrapped prose goes on with
 #: "copyright notice", "copyright holders" and the like, and "(c)" alone numbers a clause.
@@ -234,11 +236,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     if sizes["n"] <= BROADCAST_ROWS:
         names = F.broadcast(names)
     read = docs.select(
-        F.col(id_col), F.monotonically_increasing_id().alias("row"), _digests(F.coalesce(F.col(text_col), F.lit("")), sizes["low"] or 1, sizes["high"] or 0).alias("d")
-    ).select(id_col, "row", "d.*")
+        quoted(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _digests(F.coalesce(quoted(text_col), F.lit("")), sizes["low"] or 1, sizes["high"] or 0).alias("d")
+    ).select("id", "row", "d.*")
     # nearly all texts have a digest that no licence has: rows with hits only are grouped
     wholes = read.join(names, "digest", "left")
     marked = wholes.withColumn("line", F.explode_outer(F.array_distinct("lines"))).join(
         names.select(F.col("digest").alias("line"), F.col("license_id").alias("notice")), "line", "left"
     )
-    return marked.groupBy("row", id_col, "digest", "license_id").agg(F.array_sort(F.collect_set("notice")).alias("notices")).drop("row")
+    told = marked.groupBy("row", "id", "digest", "license_id").agg(F.array_sort(F.collect_set("notice")).alias("notices"))
+    return told.select(F.col("id").alias(id_col), "digest", "license_id", "notices")

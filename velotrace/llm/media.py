@@ -2,9 +2,11 @@
 
 A payload is stored without loss as unsigned 8-bit mono samples of a WAV file,
 written and read by the wave module. From the samples that were read back come
-short-time Fourier transforms (Hann window), the strongest peaks of every
-frame, and fingerprints of peak pairs: (frequency, later frequency, distance
-in frames), each with the frame it starts at.
+short-time Fourier transforms (Hann window, double precision), the strongest
+peak of every frame, and fingerprints of peak pairs: (frequency, later
+frequency, distance in frames), each with the frame it starts at. Powers are
+rounded to 3 digits before the strongest is taken, so that peaks which differ
+by the rounding of sums alone are ties (the lower frequency wins).
 
 Defined results: a null text is an empty one (64 zero bytes); equal texts have
 equal values; repeated rows get equal results; empty tables give empty
@@ -23,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 RATE, FRAME, HOP, REACH, UNIT = 8000, 128, 64, 3, 64
 #: Frames transformed at once, to bound memory on long sounds.
-_FRAMES = 20_000
-_HANN = np.hanning(FRAME).astype(np.float32)
+_FRAMES = 4_000
+_HANN = np.hanning(FRAME)
 
 
 def pad(raw: bytes) -> bytes:
@@ -64,8 +68,7 @@ def spectral_pairs(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     peaks = np.empty(len(frames), np.int32)
     for k in range(0, len(frames), _FRAMES):
-        power = np.abs(np.fft.rfft((frames[k : k + _FRAMES].astype(np.float32) - 128) * _HANN, axis=1))[:, 1:]
-        power = np.round(power, 3)  # equal peaks stay equal on every machine
+        power = np.round(np.abs(np.fft.rfft((frames[k : k + _FRAMES] - 128.0) * _HANN, axis=1))[:, 1:], 3)
         best = power.argmax(1)
         peaks[k : k + _FRAMES] = np.where(power[np.arange(len(best)), best] > 0, best + 1, 0)
     times, codes = [], []
@@ -93,7 +96,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out[name].append(value)
         return pd.DataFrame(out)
 
-    return docs.select(F.col(id_col), store(F.coalesce(F.col(text_col), F.lit(""))).alias("m")).select(id_col, "m.*")
+    return docs.select(quoted(id_col).alias("id"), store(F.coalesce(quoted(text_col), F.lit(""))).alias("m")).select(F.col("id").alias(id_col), "m.*")
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,4 +118,5 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     stored = media_columns(docs, id_col, text_col)
-    return stored.select(id_col, "n_bytes", digest("media", "peak_times", "peak_codes").alias("d")).select(id_col, "n_bytes", "d.*")
+    told = stored.select(quoted(id_col).alias("id"), "n_bytes", digest("media", "peak_times", "peak_codes").alias("d"))
+    return told.select(F.col("id").alias(id_col), "n_bytes", "d.*")

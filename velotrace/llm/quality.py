@@ -1,15 +1,19 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-Features are presence indicators of byte 2-, 3- and 4-grams, and of 1- to
-3-grams over a word stream that says only whether a word repeats one of the
-two before it, hashed to ``BUCKETS``. Each indicator is scaled by its class
-log-count ratio, a linear hinge-loss model is fitted to the scaled indicators
-by dual coordinate descent, and a logistic curve turns margins into scores.
+Features are presence indicators of n-grams, hashed to ``BUCKETS``: 2-, 3- and
+4-grams of the text's bytes, single words and pairs of words (lower case), and
+1- to 4-grams of the stream that says of each word whether it is new, the same
+as the one before or the same as the one before that. Each indicator is scaled
+by its class log-count ratio, a linear hinge-loss model is fitted to the
+scaled indicators by dual coordinate descent, and a logistic curve turns
+margins into scores.
 
 The log-count ratios come from all labelled training rows (counted per task,
-summed by bucket in Spark; at most ``BUCKETS`` rows reach the driver). Only
-the hinge-loss fit uses a bounded sample: about ``sample_docs`` rows of each
-class, of at most ``sample_chars`` characters, chosen by a hash of the text.
+summed by bucket in Spark; at most ``BUCKETS`` rows per class reach the
+driver). Only the hinge-loss fit uses a bounded sample: about ``sample_docs``
+rows of each class, never more than twice as many, of at most ``sample_chars``
+characters, chosen by a hash of id and text, so that copies of a text are
+drawn each for itself.
 
 Defined results: a null text is an empty one and is scored like any other;
 rows whose label is null or not 0 or 1 are not learned from; without training
@@ -26,12 +30,14 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, discard
+from .common import cut, discard, quoted
 
-BUCKETS = 1 << 16
+_BITS = 18
+BUCKETS = 1 << _BITS
 CUT = 0.3
 #: Multipliers of the rolling byte hashes (odd constants of our own choice).
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -46,30 +52,54 @@ def _bytes_seen(raw: np.ndarray, seen: np.ndarray) -> None:
                 h += raw[k : len(raw) - n + 1 + k] * _MIX[k]
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D + 2 * n)
-            seen[h >> np.uint32(16)] = True
+            seen[h >> np.uint32(32 - _BITS)] = True
 
 
-def indicators(text: str | None) -> np.ndarray:
-    """Sorted buckets of the n-grams that occur in a whole text."""
-    seen = np.zeros(BUCKETS, bool)
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    for i in range(0, max(1, len(data)), _BLOCK):  # blocks overlap, so no n-gram is lost
-        _bytes_seen(data[i : i + _BLOCK + 3].astype(np.uint32), seen)
-    words = (text or "").split()
-    # 0 new, 1 as the last word, 2 as the last but one; runs of equal signs are told by their 3-grams
+class _Words(dict):
+    """Hashes of words, kept from text to text up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_WORDS = _Words()
+
+
+def _words_seen(words: list[str], seen: np.ndarray) -> None:
+    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint32, len(words))
+    seen[h >> np.uint32(32 - _BITS)] = True
+    pairs = (h[:-1] * _MIX[0]) ^ (h[1:] * _MIX[1])
+    pairs ^= pairs >> np.uint32(15)
+    seen[(pairs * _MIX[2]) >> np.uint32(32 - _BITS)] = True
+
+
+def _repeats_seen(words: list[str], seen: np.ndarray) -> None:
+    """1- to 4-grams of the signs 0 new, 1 as the last word, 2 as the last but one."""
     one = np.fromiter(map(eq, words[1:], words), bool, max(0, len(words) - 1))
     two = np.fromiter(map(eq, words[2:], words), bool, max(0, len(words) - 2))
     signs = np.zeros(len(words), np.uint8)
     signs[2:][two] = 2
     signs[1:][one] = 1
     code = np.zeros(len(words), np.int64)
-    for n in (1, 2, 3):
+    for n in (1, 2, 3, 4):
         if len(words) >= n:
             code = code[: len(words) - n + 1] * 3 + signs[n - 1 :]
-            seen[(np.unique(code) * 40503 + n * 7919) % BUCKETS] = True
-    # how much of the text repeats and how long it is, as indicators too
-    share = int(10 * (signs > 0).mean()) if len(words) else 10
-    seen[[(share * 31 + 50021) % BUCKETS, (min(12, len(words).bit_length()) * 17 + 60013) % BUCKETS]] = True
+            seen[(np.flatnonzero(np.bincount(code, minlength=1)) * 40503 + n * 7919) % BUCKETS] = True
+
+
+def indicators(text: str | None) -> np.ndarray:
+    """Sorted buckets of the n-grams that occur in a whole text."""
+    seen = np.zeros(BUCKETS, bool)
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    for i in range(0, max(1, len(data)), _BLOCK):  # blocks overlap, so no n-gram is lost
+        _bytes_seen(data[i : i + _BLOCK + 3].astype(np.uint32), seen)
+    words = (text or "").lower().split()
+    if words:
+        _words_seen(words, seen)
+        _repeats_seen(words, seen)
     return np.flatnonzero(seen)
 
 
@@ -146,22 +176,25 @@ def _bucket_counts(batches):
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 1500, sample_chars: int = 50_000) -> Nbsvm:
     """Fit on the rows of ``docs`` where ``use`` holds and ``labels`` has a label of 0 or 1."""
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("quality"))
-    learned = docs.where(use).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    label, doc = quoted(label_col), quoted(id_col)
+    marks = labels.where(label.isin(0, 1) & doc.isNotNull()).groupBy(doc.alias("id")).agg(F.max(label).cast("int").alias("quality"))
+    learned = docs.where(use).select(doc.alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     # labels grow with the corpus, so they are never broadcast, not even where they happen to be few
-    rows = cut(learned.hint("merge").join(marks.hint("merge"), id_col).select("text", "quality"), "quality-rows")
+    rows = cut(learned.hint("merge").join(marks.hint("merge"), "id").select("id", "text", "quality"), "quality-rows")
     found = rows.mapInPandas(_bucket_counts, "quality int, bucket int, n long").groupBy("quality", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[found["quality"], found["bucket"]] = found["n"]
-    short = rows.where(F.length("text") <= sample_chars)
+    short = rows.where(F.length("text") <= sample_chars).withColumn("h", F.xxhash64("id", "text"))
     of_class = {r["quality"]: r["count"] for r in short.groupBy("quality").count().collect()}
     if len(of_class) < 2:
         discard(rows)
         return Nbsvm.untrained()
     ratios = log_count_ratios(counts)
-    rate = F.when(F.col("quality") == 1, min(1.0, sample_docs / of_class[1])).otherwise(min(1.0, sample_docs / of_class[0]))
-    chosen = short.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate * 1_000_000)
-    sample = chosen.orderBy(F.xxhash64("text"), "text", "quality").limit(4 * sample_docs).collect()
+    sample = []
+    for k, n in sorted(of_class.items()):
+        chosen = short.where((F.col("quality") == k) & (F.pmod("h", F.lit(1_000_000)) < min(1.0, sample_docs / n) * 1_000_000))
+        sample += chosen.select("h", "text", "quality").orderBy("h", "text").limit(2 * sample_docs).collect()
+    sample.sort(key=lambda r: (r["h"], r["text"], r["quality"]))
     discard(rows)
     grams = [indicators(r["text"]) for r in sample]
     y = np.array([r["quality"] for r in sample], int)
@@ -186,8 +219,6 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
 
 def scorer(model: Nbsvm):
     """Column function: text -> score between 0 and 1."""
-    bounded_batches(SparkSession.getActiveSession())
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(texts.tolist()))
@@ -197,5 +228,5 @@ def scorer(model: Nbsvm):
 
 def classify(docs: DataFrame, model: Nbsvm, id_col: str = "doc_id", text_col: str = "text", least: float = CUT) -> DataFrame:
     """``id_col, score, predicted`` of every row; predicted is 1 where the score is at least ``least``."""
-    scored = docs.select(F.col(id_col), scorer(model)(F.col(text_col)).alias("score"))
+    scored = docs.select(quoted(id_col).alias(id_col), scorer(model)(quoted(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))

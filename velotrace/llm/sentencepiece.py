@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, bounded_batches, slices
+from .common import Store, quoted, slices
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,6 +40,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _PRE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Longer runs are pre-tokens like any other, but their paths are not stored.
 _LONG, _KEEP = 200, 150_000
+#: In place of the id of a piece: the bytes of one character.
+_BYTES = -1
 
 
 @dataclass
@@ -103,45 +105,48 @@ class Encoder:
         for p, (i, s) in vocabulary.pieces.items():
             self.automaton.add_word(p, (len(p), i, s))
         self.automaton.make_automaton()
+        self.sizes = {i: len(p) for p, (i, _) in vocabulary.pieces.items()}
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
         self.store = Store(_KEEP)
 
-    def viterbi(self, text: str) -> list[int]:
-        """Ids of the best path."""
-        n = len(text)
-        best, back = [-np.inf] * (n + 1), [None] * (n + 1)
+    def viterbi(self, text: str) -> array:
+        """Ids of the best path. A position takes 12 bytes: its score and the id of the piece that ends there."""
+        n, sizes = len(text), self.sizes
+        best, back = array("d", [-np.inf]) * (n + 1), array("i", [_BYTES]) * (n + 1)
         best[0] = 0.0
         if self.single.issuperset(text):
-            for last, piece in self.automaton.iter(text):
+            for last, (size, i, score) in self.automaton.iter(text):
                 end = last + 1
-                s = best[end - piece[0]] + piece[2]
+                s = best[end - size] + score
                 if s > best[end]:
-                    best[end], back[end] = s, piece
+                    best[end], back[end] = s, i
         else:
             done = 0
-            for last, piece in self.automaton.iter(text):
+            for last, (size, i, score) in self.automaton.iter(text):
                 if last > done:  # nothing more ends before this position
                     self._fall_back(text, best, back, done, last)
                     done = last
-                s = best[last + 1 - piece[0]] + piece[2]
+                s = best[last + 1 - size] + score
                 if s > best[last + 1]:
-                    best[last + 1], back[last + 1] = s, piece
+                    best[last + 1], back[last + 1] = s, i
             self._fall_back(text, best, back, done, n)
-        ids, at = [], n
+        ids, at = array("i"), n
         while at:
-            size, i, _ = back[at]
-            if i is None:
-                ids += [self.v.byte_ids[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
+            i = back[at]
+            if i == _BYTES:
+                ids.extend([self.v.byte_ids[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))])
+                at -= 1
             else:
                 ids.append(i)
-            at -= size
-        return ids[::-1]
+                at -= sizes[i]
+        ids.reverse()
+        return ids
 
-    def _fall_back(self, text: str, best: list, back: list, done: int, upto: int) -> None:
+    def _fall_back(self, text: str, best: array, back: array, done: int, upto: int) -> None:
         """Bytes for the characters after ``done`` that are no piece themselves."""
         for end in range(done + 1, upto + 1):
             if text[end - 1] not in self.single and (s := best[end - 1] + self.v.unknown) > best[end]:
-                best[end], back[end] = s, (1, None, s)
+                best[end], back[end] = s, _BYTES
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, int, float]]:
         """(ids, byte pieces, score) of each text; each distinct pre-token's path is found once."""
@@ -149,7 +154,7 @@ class Encoder:
         for w in set(chain.from_iterable(words)):
             found = self.store.get(w)
             if found is None:
-                found = array("i", self.viterbi(w)).tobytes()
+                found = self.viterbi(w).tobytes()
                 if len(w) <= _LONG:
                     self.store.put(w, found)
             known[w] = found
@@ -203,10 +208,9 @@ def decoder(vocabulary: Broadcast):
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids, n_pieces, n_byte_pieces, score`` of every row."""
-    bounded_batches(docs.sparkSession)
     vocabulary = shipped(docs.sparkSession, model)
-    coded = docs.select(F.col(id_col), encoder(vocabulary)(F.col(text_col)).alias("e")).select(id_col, "e.*")
-    return coded.select(id_col, "ids", F.size("ids").alias("n_pieces"), "n_byte_pieces", "score")
+    coded = docs.select(quoted(id_col).alias("id"), encoder(vocabulary)(quoted(text_col)).alias("e")).select("id", "e.*")
+    return coded.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_pieces"), "n_byte_pieces", "score")
 
 
 def decode(coded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:

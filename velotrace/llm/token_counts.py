@@ -6,7 +6,9 @@ stands for a prefix and holds its best unigram score, the number of pieces on
 that path, and the starts from which a piece may still reach further down; it
 is computed once from the nodes above it, however many pre-tokens share the
 prefix. The count at a pre-token's last node is stored, in a store of bounded
-size that keeps frequent pre-tokens from block to block.
+size that keeps frequent pre-tokens from block to block. A pre-token of over
+200 characters shares no prefix worth keeping: it is counted by the same steps
+on a path of bounded length, so text without blanks takes bounded memory.
 
 Counts are those of the ``sentencepiece`` operator's encoding (same scores,
 byte fallback and rule for ties), without any ids being made.
@@ -24,10 +26,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, bounded_batches, slices
+from .common import Store, quoted, slices
 from .sentencepiece import DEFAULT_MODEL, Pieces, pre_tokens, shipped
 
 _LONG, _KEEP = 200, 200_000
+#: Nodes of a long pre-token's path after which those out of reach are let go.
+_NODES = 65_536
 _NEVER = float("-inf")
 
 
@@ -40,6 +44,7 @@ class CountTrie:
         # every prefix of a piece -> the score, where the prefix is a piece itself
         self.prefixes: dict[str, float] = {p[:n]: _NEVER for p in vocabulary.pieces for n in range(1, len(p))}
         self.prefixes |= {p: s for p, (_, s) in vocabulary.pieces.items()}
+        self.longest = max(map(len, self.prefixes), default=1)
         self.store = Store(_KEEP)
 
     def walk(self, words: list[str]) -> list[int]:
@@ -69,6 +74,29 @@ class CountTrie:
             last = word
         return out
 
+    def long_count(self, word: str) -> int:
+        """Pieces of a long pre-token, by the same steps; only the nodes that a piece may still start from are kept."""
+        prefixes, single, unknown = self.prefixes, self.single, self.unknown
+        best, count, live, base = [0.0], [0], [], 0
+        for end in range(1, len(word) + 1):
+            top, n, now = _NEVER, 0, []
+            for start in (*live, end - 1):
+                score = prefixes.get(word[start:end])
+                if score is not None:
+                    now.append(start)
+                    if score + best[start - base] > top:
+                        top, n = score + best[start - base], count[start - base] + 1
+            if word[end - 1] not in single and unknown + best[-1] > top:
+                top, n = unknown + best[-1], count[-1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
+            live = now
+            best.append(top)
+            count.append(n)
+            if len(best) > _NODES:
+                gone = len(best) - self.longest - 1
+                del best[:gone], count[:gone]
+                base += gone
+        return count[-1]
+
     def counts(self, texts: list[list[str]]) -> list[int]:
         """Pieces of each text, given its pre-tokens."""
         known, new = {}, []
@@ -78,11 +106,13 @@ class CountTrie:
                 new.append(w)
             else:
                 known[w] = found
-        new.sort()
-        for w, n in zip(new, self.walk(new), strict=True):
+        short = sorted(w for w in new if len(w) <= _LONG)
+        for w, n in zip(short, self.walk(short), strict=True):
             known[w] = n
-            if len(w) <= _LONG:
-                self.store.put(w, n)
+            self.store.put(w, n)
+        for w in new:
+            if len(w) > _LONG:
+                known[w] = self.long_count(w)
         return [sum(map(known.__getitem__, words)) for words in texts]
 
 
@@ -113,6 +143,5 @@ def counter(vocabulary: Broadcast):
 
 def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, n_pre_tokens`` of every row."""
-    bounded_batches(docs.sparkSession)
     count = counter(shipped(docs.sparkSession, model))
-    return docs.select(F.col(id_col), count(F.col(text_col)).alias("c")).select(id_col, "c.*")
+    return docs.select(quoted(id_col).alias("id"), count(quoted(text_col)).alias("c")).select(F.col("id").alias(id_col), "c.*")
