@@ -9,8 +9,7 @@ scaled indicators by dual coordinate descent, and a logistic curve turns
 margins into scores.
 
 The log-count ratios come from all labelled training rows (counted per task,
-summed by bucket in Spark; at most ``BUCKETS`` rows per class reach the
-driver). Only the hinge-loss fit uses a bounded sample: about ``sample_docs``
+summed by bucket in Spark; at most ``BUCKETS`` rows reach the driver). Only the hinge-loss fit uses a bounded sample: about ``sample_docs``
 rows of each class, never more than twice as many, of at most ``sample_chars``
 characters, chosen by a hash of id and text, so that copies of a text are
 drawn each for itself.
@@ -100,7 +99,7 @@ def indicators(text: str | None) -> np.ndarray:
     if words:
         _words_seen(words, seen)
         _repeats_seen(words, seen)
-    return np.flatnonzero(seen)
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 @dataclass
@@ -169,9 +168,8 @@ def _bucket_counts(batches):
     for pdf in batches:
         for text, quality in zip(pdf["text"], pdf["quality"], strict=True):
             counts[int(quality), indicators(text)] += 1
-    for k in (0, 1):
-        at = np.flatnonzero(counts[k])
-        yield pd.DataFrame({"quality": np.full(len(at), k, np.int32), "bucket": at.astype(np.int32), "n": counts[k, at]})
+    at = np.flatnonzero(counts.any(0))
+    yield pd.DataFrame({"bucket": at.astype(np.int32), "low": counts[0, at], "high": counts[1, at]})
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 1500, sample_chars: int = 50_000) -> Nbsvm:
@@ -181,9 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     learned = docs.where(use).select(doc.alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     # labels grow with the corpus, so they are never broadcast, not even where they happen to be few
     rows = cut(learned.hint("merge").join(marks.hint("merge"), "id").select("id", "text", "quality"), "quality-rows")
-    found = rows.mapInPandas(_bucket_counts, "quality int, bucket int, n long").groupBy("quality", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInPandas(_bucket_counts, "bucket int, low long, high long").groupBy("bucket").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).toArrow()
     counts = np.zeros((2, BUCKETS))
-    counts[found["quality"], found["bucket"]] = found["n"]
+    counts[:, found["bucket"].to_numpy()] = found["low"].to_numpy(), found["high"].to_numpy()
     short = rows.where(F.length("text") <= sample_chars).withColumn("h", F.xxhash64("id", "text"))
     of_class = {r["quality"]: r["count"] for r in short.groupBy("quality").count().collect()}
     if len(of_class) < 2:
