@@ -41,8 +41,8 @@ def word_count(text: Column) -> Column:
 
 def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
     """(length, texts) of each distinct length, in order."""
-    rows = lengths.groupBy("n_tokens").agg(F.count("*").alias("texts")).toPandas()
-    return sorted(zip(rows["n_tokens"].tolist(), rows["texts"].tolist(), strict=True))
+    rows = lengths.groupBy("n_tokens").agg(F.count("*").alias("texts")).toArrow()
+    return sorted(zip(rows["n_tokens"].to_pylist(), rows["texts"].to_pylist(), strict=True))
 
 
 def best_bounds(cells: list[tuple[int, int]], n_buckets: int) -> list[int]:
