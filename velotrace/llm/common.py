@@ -63,8 +63,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     vertex of a proper edge (a vertex without one is its own root). Alternates
     large-star and small-star rounds; each round is written to the shared
     folder, and only a count and a checksum of it reach the driver. Minima are
-    pre-aggregated before each shuffle and joined back, so a hub is split by
-    adaptive skew joins and never held in one task.
+    pre-aggregated before each shuffle, written and joined back: by broadcast
+    where the written table is small, else by a join whose crowded keys Spark
+    splits, so a hub is never held in one task.
     """
     now = cut(
         edges.where(F.col("a") != F.col("b"))
@@ -75,7 +76,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     seen = _checksum(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), f"{name}-low")
         # large star: neighbours above a vertex move to the least of its neighbourhood
         large = (
             both.join(low, "a")
@@ -84,7 +85,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .distinct()
         )
         # small star: a vertex and its neighbours below it move to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = cut(large, f"{name}-large")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("low")), f"{name}-least")
         small = (
             large.join(least, "a")
             .select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
@@ -94,7 +96,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         )
         after = cut(small, name)
         found = _checksum(after)
-        discard(now)
+        for done in (now, low, large, least):
+            discard(done)
         now = after
         if found == seen:
             break
