@@ -68,3 +68,37 @@ def test_trusted_speed_rejects_jumps_and_wrong_wheels(spark, monkeypatch):
     monkeypatch.setattr(A, "records", lambda *_: rows)
     got = jobs.QUERIES["w17_w18_a13_trusted_speed"](spark, "").collect()
     assert [r["activity_id"] for r in got] == [1] and got[0]["n_high"] > 40
+
+
+def test_enhanced_channels_and_labels(spark):
+    """An enhanced speed of 0 fills nothing; a label falls back to the file name and tells hours."""
+    from pyspark.sql import functions as F
+
+    from velotrace.functions import scalars as S
+    from velotrace.functions import text as X
+    from velotrace.operators import clean
+
+    rows = [(None, 0.0, None, 5.0), (None, 3.0, 1.0, 5.0), (0.0, 4.0, None, None), (0.0, 0.0, 2.0, None), (7.0, 9.0, None, 6.0)]
+    df = spark.createDataFrame(rows, "speed_kmh double, enhanced_speed double, altitude_m double, enhanced_altitude double")
+    got = [(r["speed_kmh"], r["altitude_m"]) for r in clean.enhanced_fallback(df).collect()]
+    assert got == [(None, 5.0), (3.0, 1.0), (4.0, None), (0.0, 2.0), (7.0, 6.0)]
+    rows = [("2024-05-06T07:08:09", "a.fit", 10.0, 3725.0), (None, "x20240102030405.fit", None, 59.4), (None, "b.fit", 0.0, None)]
+    named = spark.createDataFrame(rows, "t string, f string, km double, s double")
+    label = X.activity_label(S.parse_activity_time("t", F.col("f")), F.col("f"), F.lit("cycling"), F.col("km"), F.col("s"))
+    assert [r[0] for r in named.select(label).collect()] == ["06/05/2024, 07:08 · cycling · 10.0 km · 01:02:05", "02/01/2024, 03:04 · cycling · 00:00:59", "b.fit · cycling"]
+
+
+def test_near_sixty_minutes_only_without_sixty(spark):
+    from velotrace.operators import power
+
+    curve = [(a, d, 200.0 + 1000 / d) for a, ds in ((1, (1200, 3000, 3300, 3600)), (2, (1200, 3000, 3300))) for d in ds]
+    got = {r["a"]: r for r in power.ftp_candidates(spark.createDataFrame(curve, "a int, duration_s int, power double"), "a").collect()}
+    assert got[1]["mmp_60min"] and got[1]["mmp_close_to_60min"] is None
+    assert got[2]["mmp_60min"] is None and got[2]["mmp_close_to_60min"] == pytest.approx(200 + 1000 / 3300)
+
+
+def test_summary_without_a_profile_uses_its_own_maximum(spark):
+    rows = ride(spark, 400, hr=lambda i: 120 + i // 8, distance=lambda i: i * 0.01, speed=lambda i: 30, alt=lambda i: 100).selectExpr("* EXCEPT (power)", "200D AS power")
+    schema = "activity_id long, ftp double, rest_hr double, top_hr double, sex string"
+    one, two = (summary.activity_summary(rows, spark.createDataFrame([(rows.first()["activity_id"], 220.0, 50.0, top, "male")], schema)).first() for top in (None, 120.0 + 399 // 8))
+    assert one["decoupling_pct"] == two["decoupling_pct"] > 0 and one["trimp"] == two["trimp"]

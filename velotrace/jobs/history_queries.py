@@ -128,10 +128,10 @@ def s5_replace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.replace_rows(old, old.where("activity_id % 5 = 0 AND record_index < 10").withColumn("power", F.lit(0.0)))
 
 
-@query(f"{ACT} SELECT activity_id, CASE WHEN activity_id % 6 = 0 THEN 2 ELSE 1 END AS ratio FROM activities WHERE activity_id % 2 = 0 AND (activity_id % 6 <> 0 OR activity_id % 4 = 0)")
+@query(f"{ACT} SELECT activity_id, CASE WHEN activity_id % 6 = 0 THEN 2 ELSE 1 END AS ratio FROM activities WHERE activity_id % 6 <> 0 OR activity_id % 4 = 0")
 def s6_replace_wheel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = A.activities(spark, sf_dir).select("activity_id")
-    old = ids.where("activity_id % 2 = 0").withColumn("ratio", F.lit(1.0))
+    old = ids.withColumn("ratio", F.lit(1.0))
     imported = ids.where("activity_id % 6 = 0")
     return maintain.replace_wheel_samples(old, imported, imported.withColumn("ratio", F.when(F.col("activity_id") % 4 == 0, 2.0)))
 
@@ -279,10 +279,16 @@ def h15_effort_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ACT} SELECT activity_id, concat_ws(chr(10), '- Distance: ' || printf('%.1f', total_distance_km) || ' km', CASE WHEN avg_speed_kmh > 0 THEN '- Speed: ' || printf('%.1f', avg_speed_kmh) || ' km/h' END, CASE WHEN total_ascent_m > 0 THEN '- Ascent: ' || printf('%.0f', total_ascent_m) || ' m' END) AS fields,
-  concat_ws(' · ', strftime(start_ts, '%Y-%m-%d'), sport, CASE WHEN total_distance_km > 0 THEN printf('%.1f', total_distance_km) || ' km' END, CASE WHEN total_timer_s > 0 THEN CAST(CAST(floor(total_timer_s / 60) AS BIGINT) AS VARCHAR) || ' min' END) AS label FROM activities""")
+  concat_ws(' · ', coalesce(strftime(coalesce(start_ts, CASE WHEN activity_id % 2 = 0 THEN make_timestamp(2021, 2, 3, activity_id % 24, 15, 30) END), '%d/%m/%Y, %H:%M'), CAST(activity_id AS VARCHAR) || '.fit'), sport,
+    CASE WHEN total_distance_km > 0 THEN printf('%.1f', total_distance_km) || ' km' END, CASE WHEN total_timer_s > 0 THEN printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END) AS label
+FROM (SELECT *, CAST(floor(total_timer_s + 0.5) AS BIGINT) AS s FROM activities) t""")
 def h17_t8_fields_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [("Distance", S.format_positive("total_distance_km", 1), "km"), ("Speed", S.format_positive("avg_speed_kmh", 1), "km/h"), ("Ascent", S.format_positive("total_ascent_m", 0), "m")]
-    label = X.activity_label(F.date_format("start_ts", "yyyy-MM-dd"), "sport", "total_distance_km", "total_timer_s")
+    i = F.col("activity_id")
+    dated = F.concat(F.lit("ride-20210203"), F.lpad((i % 24).cast("string"), 2, "0"), F.lit("1530.fit"))
+    name = F.when(i % 2 == 0, dated).otherwise(F.concat(i.cast("string"), F.lit(".fit")))
+    start = S.parse_activity_time(F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss"), name)
+    label = X.activity_label(start, name, "sport", "total_distance_km", "total_timer_s")
     return A.activities(spark, sf_dir).select("activity_id", X.fields_skipping_empty(fields).alias("fields"), label.alias("label"))
 
 

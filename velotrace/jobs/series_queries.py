@@ -102,6 +102,15 @@ def p4_p6_w1_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.normalize_speeds(records).select("activity_id", "record_index", "smooth_kmh", "speed_kmh"), "smooth_kmh", "speed_kmh")
 
 
+@query(f"""{R} SELECT activity_id, record_index, CASE WHEN speed_kmh > 0 THEN speed_kmh WHEN cadence > 50 THEN cadence - 50 ELSE speed_kmh END AS speed_kmh,
+  CASE WHEN record_index % 3 = 0 THEN temperature ELSE altitude_m END AS altitude_m FROM records""")
+def p4_enhanced_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enhanced channels (made from cadence and temperature) where the plain ones are zero or missing."""
+    records = A.records(spark, sf_dir).withColumn("altitude_m", F.when(F.col("record_index") % 3 != 0, F.col("altitude_m")))
+    filled = clean.enhanced_fallback(records.withColumn("enhanced_speed", F.col("cadence") - 50), altitude="temperature")
+    return filled.select("activity_id", "record_index", "speed_kmh", "altitude_m")
+
+
 @query(f"""{R}, fixed AS (SELECT *, CASE WHEN {FIX} THEN struct_pack(t := elapsed_s, la := position_lat, lo := position_long) END AS f FROM records
 ), prev AS (SELECT *, last_value(f IGNORE NULLS) OVER ({W_} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM fixed
 ), raw AS (SELECT *, CASE WHEN elapsed_s - p.t > 0 AND elapsed_s - p.t <= 30 AND f IS NOT NULL THEN {_haversine('p.la', 'p.lo', 'f.la', 'f.lo')} / (elapsed_s - p.t) * 3600 END AS r FROM prev)
@@ -123,9 +132,12 @@ def p7_p8_record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("activity_id", "record_index", "position_lat", "cadence", "temperature", "grade_pct")
 
 
-@query(f"""{GRADED}, est AS (
+EST = f"""{GRADED}, est AS (
   SELECT *, CASE WHEN dt > 0 AND dt <= 5 AND step_ms >= 0.5 AND abs(grade) <= 0.18 THEN least(1200, greatest(0, 85 * 9.80665 * sin(atan(grade)) * step_ms
-    + 85 * 9.80665 * 0.004 * cos(atan(grade)) * step_ms + 0.5 * 1.225 * 0.25 * step_ms * step_ms * step_ms) / 0.97) END AS e FROM graded)
+    + 85 * 9.80665 * 0.004 * cos(atan(grade)) * step_ms + 0.5 * 1.225 * 0.25 * step_ms * step_ms * step_ms) / 0.97) END AS e FROM graded)"""
+
+
+@query(f"""{EST}
 SELECT activity_id, record_index, round(e, 6) AS estimated, CASE WHEN activity_id % 2 = 0 AND activity_id IN (SELECT activity_id FROM records WHERE power >= 0) THEN 'measured' WHEN count(e) OVER (PARTITION BY activity_id) > 0 THEN 'estimated' ELSE 'unavailable' END AS power_source
 FROM est""")
 def g3_g4_estimated_power(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,11 +294,14 @@ def a12_h1_route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.route_stats(A.records(spark, sf_dir)), "path_km")
 
 
-@query(f"""{R} SELECT activity_id, count(*) AS n_records, count(*) FILTER (WHERE power >= 0) AS n_power, count(*) FILTER (WHERE power >= 0 AND elapsed_s IS NOT NULL) AS n_timed,
-  CASE WHEN count(*) FILTER (WHERE power >= 0) > 0 THEN 'measured' ELSE 'estimated' END AS power_source, round(floor(avg(temperature) * 10 + 0.5) / 10, 6) AS avg_temperature, max(elapsed_s) AS duration_s FROM records GROUP BY activity_id""")
+@query(f"""{EST}, own AS (SELECT *, CASE WHEN activity_id % 2 = 0 THEN power END AS p FROM est)
+SELECT activity_id, count(*) AS n_records, count(*) FILTER (WHERE p >= 0) AS n_power, count(*) FILTER (WHERE p >= 0 AND elapsed_s IS NOT NULL) AS n_timed,
+  CASE WHEN count(*) FILTER (WHERE p >= 0) > 0 THEN 'measured' WHEN count(e) > 0 THEN 'estimated' ELSE 'unavailable' END AS power_source, round(floor(avg(temperature) * 10 + 0.5) / 10, 6) AS avg_temperature, max(elapsed_s) AS duration_s FROM own GROUP BY activity_id""")
 def a19_a21_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = A.records(spark, sf_dir)
-    rows = power.power_coverage(records).join(summary.average_temperature(records), "activity_id").join(summary.estimate_duration(records), "activity_id")
+    """Coverage by power; activities of odd id are taken as having no power meter."""
+    records = A.records(spark, sf_dir).withColumn("power", F.when(F.col("activity_id") % 2 == 0, F.col("power")))
+    guessed = series.compute_grade(records).withColumn("estimated", series.estimate_power(F.lit(75.0), F.lit(10.0)))
+    rows = power.power_coverage(guessed).join(summary.average_temperature(records), "activity_id").join(summary.estimate_duration(records), "activity_id")
     return rounded(rows, "avg_temperature")
 
 

@@ -44,13 +44,16 @@ def derive_speed_from_distance(records: DataFrame, max_gap: float = 30.0, n: int
     return out.withColumn("_raw", raw).withColumn("derived_kmh", smooth("_raw", n)).drop("_p", "_raw")
 
 
-def normalize_speeds(records: DataFrame, enhanced_speed=None) -> DataFrame:
-    """``speed_kmh``: recorded (or enhanced) above 0, else derived; a recorded 0 needs over 1 km/h derived."""
-    speed = F.col("speed_kmh")
-    if enhanced_speed is not None:
-        speed = F.when(speed > 0, speed).otherwise(F.coalesce(col(enhanced_speed), speed))
+def enhanced_fallback(records: DataFrame, speed="enhanced_speed", altitude="enhanced_altitude") -> DataFrame:
+    """``speed_kmh`` from a positive enhanced speed where it is not positive itself, ``altitude_m`` from the enhanced one where it is missing."""
+    own, other = F.col("speed_kmh"), F.when(col(speed) > 0, col(speed))
+    return records.withColumns({"speed_kmh": F.when(own > 0, own).otherwise(F.coalesce(other, own)), "altitude_m": F.coalesce("altitude_m", col(altitude))})
+
+
+def normalize_speeds(records: DataFrame) -> DataFrame:
+    """``speed_kmh``: recorded above 0, else derived; a recorded 0 needs over 1 km/h derived."""
     out = derive_speed_from_distance(records)
-    d = F.col("derived_kmh")
+    speed, d = F.col("speed_kmh"), F.col("derived_kmh")
     return out.withColumn("speed_kmh", F.when(speed > 0, speed).when(speed.isNull(), d).when(d > 1, d).otherwise(speed))
 
 

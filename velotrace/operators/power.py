@@ -90,7 +90,7 @@ def ftp_candidates(curve: DataFrame, *keys: str) -> DataFrame:
     fit = curve.groupBy(*keys).agg(
         F.count(y).alias("_n"), F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"),
         F.when(F.var_pop(y) == 0, 0.0).otherwise(F.regr_r2(y, x)).alias("_r"),
-        at(3600).alias("mmp_60min"), F.coalesce(at(3300), at(3000)).alias("mmp_close_to_60min"), (at(1200) * 0.95).alias("p20"),
+        at(3600).alias("mmp_60min"), F.when(at(3600).isNull(), F.coalesce(at(3300), at(3000))).alias("mmp_close_to_60min"), (at(1200) * 0.95).alias("p20"),
     )
     ok = (F.col("_n") >= 3) & (F.col("_i") > 0) & (F.col("_s") >= 0) & (F.col("_r") >= 0.85)
     named = [F.when(ok, F.col(c)).alias(n) for c, n in (("_i", "cp"), ("_s", "w_prime"), ("_r", "r_squared"))]
@@ -104,9 +104,10 @@ def select_ftp(*candidates: str) -> Column:
 
 
 def power_coverage(records: DataFrame) -> DataFrame:
-    """``activity_id, n_records, n_power, n_timed, power_source``."""
-    counts = records.groupBy(ACTIVITY).agg(F.count("*").alias("n_records"), F.count_if(valid_power()).alias("n_power"), F.count_if(valid_power() & F.col("elapsed_s").isNotNull()).alias("n_timed"))
-    return counts.withColumn("power_source", F.when(F.col("n_timed") > 0, "measured").otherwise("estimated"))
+    """``activity_id, n_records, n_power, n_timed, power_source``; without measured power, estimates need a column ``estimated``."""
+    guessed = F.count("estimated") > 0 if "estimated" in records.columns else F.lit(False)
+    counts = records.groupBy(ACTIVITY).agg(F.count("*").alias("n_records"), F.count_if(valid_power()).alias("n_power"), F.count_if(valid_power() & F.col("elapsed_s").isNotNull()).alias("n_timed"), guessed.alias("_g"))
+    return counts.withColumn("power_source", F.when(F.col("n_timed") > 0, "measured").when(F.col("_g"), "estimated").otherwise("unavailable")).drop("_g")
 
 
 def decoupling(records: DataFrame, limits: DataFrame) -> DataFrame:

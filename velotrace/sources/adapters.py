@@ -53,7 +53,7 @@ _PROFILES = """
 SELECT athlete_id, effective_day, 180 + max(activity_id) % 20 AS max_hr,
   CASE WHEN max(activity_id) % 2 = 0 THEN 120 END AS zone2, CASE WHEN max(activity_id) % 2 = 0 THEN 140 END AS zone3,
   CASE WHEN max(activity_id) % 2 = 0 THEN 160 END AS zone4, CASE WHEN max(activity_id) % 2 = 0 THEN 175 END AS zone5
-FROM (SELECT athlete_id, activity_id, start_s {div} 86400 AS effective_day FROM activities WHERE activity_id % 5 = 0 AND athlete_id % 4 <> 0 AND start_s IS NOT NULL) t
+FROM (SELECT athlete_id, activity_id, start_s {div} 86400 AS effective_day FROM activities WHERE start_s IS NOT NULL) t
 GROUP BY athlete_id, effective_day
 """
 PROFILES_SQL = _PROFILES.format(div="//")
@@ -68,7 +68,7 @@ ATHLETES_SQL = _ATHLETES
 
 _ANALYSES = """
 SELECT doc_id AS activity_id, '**Summary** ' || lang || chr(10) || text || chr(10) || '**Advice** rest' AS analysis_text, doc_id % 10 AS analysis_version
-FROM documents WHERE doc_id % 3 <> 0
+FROM documents
 """
 ANALYSES_SQL = _ANALYSES
 
