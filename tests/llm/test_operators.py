@@ -569,3 +569,15 @@ def test_line_dedup_keeps_columns_of_any_name(docs):
         assert all(r[n] == f"{n}-{'-' if r['doc_id'] is None else r['doc_id']}" for n in names)
     plain = line_dedup.drop_repeated_lines(docs.select("doc_id", "text")).select("doc_id", "kept_text").collect()
     assert sorted(map(tuple, got.select("doc_id", "kept_text_1").collect()), key=str) == sorted(map(tuple, plain), key=str)
+
+
+def test_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("64m", str(2 << 20)), ("67108864b", str(2 << 20)), ("1m", "1m"), ("4096", "4096")):
+            spark.conf.set(name, given)
+            common.bounded_batches(spark)
+            assert spark.conf.get(name) in (want, want + "b")
+    finally:
+        spark.conf.set(name, before)

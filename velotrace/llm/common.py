@@ -5,6 +5,7 @@ Nothing here collects rows: the driver sees counts and checksums only.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -146,6 +147,19 @@ def free_names(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def bounded_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Let Arrow batches of this session hold ``most`` bytes at most, to bound the memory of Python workers.
+
+    For operators whose workers hold several times their batch. A smaller
+    setting stays; the setting is read when a query runs, so it stays set.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(name).lower()).groups()
+    now = int(size) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 class Store:
     """Bounded memory of a worker: two generations of at most ``cap`` entries.
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import bounded_batches, quoted
 
 RATE, FRAME, HOP, REACH, UNIT = 8000, 128, 64, 3, 64
 #: Frames transformed at once, to bound memory on long sounds.
@@ -85,6 +85,8 @@ def spectral_pairs(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, media (the WAV file), peak_times, peak_codes`` of every row."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("n_bytes long, media binary, peak_times array<int>, peak_codes array<int>")
     def store(texts: pd.Series) -> pd.DataFrame:
         out = {"n_bytes": [], "media": [], "peak_times": [], "peak_codes": []}

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, quoted, slices
+from .common import Store, bounded_batches, quoted, slices
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -188,7 +188,7 @@ def encoder(vocabulary: Broadcast):
     @F.pandas_udf("ids array<int>, n_byte_pieces int, score double")
     def encode(texts: pd.Series) -> pd.DataFrame:
         e, whole, rows = _encoder(vocabulary.value), texts.tolist(), []
-        for a, b in slices(whole):
+        for a, b in slices(whole, 1_000_000):
             rows += e.encode(whole[a:b])
         return pd.DataFrame(rows, columns=["ids", "n_byte_pieces", "score"])
 
@@ -208,6 +208,7 @@ def decoder(vocabulary: Broadcast):
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids, n_pieces, n_byte_pieces, score`` of every row."""
+    bounded_batches(docs.sparkSession)
     vocabulary = shipped(docs.sparkSession, model)
     coded = docs.select(quoted(id_col).alias("id"), encoder(vocabulary)(quoted(text_col)).alias("e")).select("id", "e.*")
     return coded.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_pieces"), "n_byte_pieces", "score")

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, quoted, slices
+from .common import Store, bounded_batches, quoted, slices
 from .sentencepiece import DEFAULT_MODEL, Pieces, pre_tokens, shipped
 
 _LONG, _KEEP = 200, 200_000
@@ -143,5 +143,6 @@ def counter(vocabulary: Broadcast):
 
 def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, n_pre_tokens`` of every row."""
+    bounded_batches(docs.sparkSession)
     count = counter(shipped(docs.sparkSession, model))
     return docs.select(quoted(id_col).alias("id"), count(quoted(text_col)).alias("c")).select(F.col("id").alias(id_col), "c.*")
