@@ -102,3 +102,58 @@ def test_summary_without_a_profile_uses_its_own_maximum(spark):
     schema = "activity_id long, ftp double, rest_hr double, top_hr double, sex string"
     one, two = (summary.activity_summary(rows, spark.createDataFrame([(rows.first()["activity_id"], 220.0, 50.0, top, "male")], schema)).first() for top in (None, 120.0 + 399 // 8))
     assert one["decoupling_pct"] == two["decoupling_pct"] > 0 and one["trimp"] == two["trimp"]
+
+
+def test_summary_prefers_what_the_device_says(spark):
+    """Distance, time and speeds of the session go first; its heart rates only fill in."""
+    rows = ride(spark, 100, distance=lambda i: i * 0.01, speed=lambda i: 30, cadence=lambda i: i % 90).unionByName(ride(spark, 100, 2, distance=lambda i: i * 0.01, speed=lambda i: 30, hr=lambda i: 120))
+    rows = rows.unionByName(ride(spark, 100, 3, distance=lambda i: i * 0.01, speed=lambda i: 30))
+    context = spark.createDataFrame([(i, 220.0, 50.0, 190.0, "male") for i in (1, 2, 3)], "activity_id long, ftp double, rest_hr double, top_hr double, sex string")
+    told = [(1, 5.0, 500.0, 33.0, 60.0, 130.0, 170.0), (2, None, None, 0.0, None, 130.0, 170.0)]
+    sessions = spark.createDataFrame(told, "activity_id long, total_distance_km double, total_timer_s double, avg_speed_kmh double, max_speed_kmh double, avg_hr double, max_hr double")
+    got = {r["activity_id"]: r for r in summary.activity_summary(rows, context, sessions).collect()}
+    pick = lambda i: tuple(round(got[i][c], 6) for c in ("distance_km", "duration_s", "avg_speed", "max_speed", "avg_hr", "max_hr", "max_cadence"))
+    assert pick(1) == (5.0, 500.0, 33.0, 60.0, 130.0, 170.0, 89.0)
+    assert pick(2) == (0.99, 99.0, 36.0, 30.0, 120.0, 120.0, 0.0)
+    assert pick(3) == (0.99, 99.0, 36.0, 30.0, 0.0, 0.0, 0.0)
+
+
+def test_suggestion_estimates_only_without_a_meter(spark):
+    """One athlete with a meter, one that climbs without, one without rides; a record's heart rate can be the top."""
+    from velotrace.operators import suggestion
+
+    step = 18 / 3600
+    climb = {"speed": lambda i: 18, "distance": lambda i: i * step, "alt": lambda i: 100 + i * step * 50, "lat": lambda i: 52, "lon": lambda i: 21 + i * step / 68.5, "hr": lambda i: 188}
+    rows = ride(spark, 600, 1, power=lambda i: 200, hr=lambda i: 150).unionByName(ride(spark, 600, 2, **climb))
+    activities = spark.createDataFrame([(1, 10, None, 180.0), (2, 20, 90.0, 180.0)], "activity_id long, athlete_id long, rider_mass_kg double, max_hr double")
+    athletes = spark.createDataFrame([(a, "male", 60.0, 50.0, 75.0, 10.0) for a in (10, 20, 30)], "athlete_id long, sex string, age double, resting_hr double, rider_mass_kg double, bike_mass_kg double")
+    got = {r["athlete_id"]: r for r in suggestion.athlete_suggestion(rows, activities, athletes, durations=(60, 300)).collect()}
+    assert [got[a]["power_source"] for a in (10, 20, 30)] == ["measured", "estimated", "unavailable"]
+    weight, v, angle = 100 * 9.80665, 5.0, math.atan(0.05)
+    watts = (weight * math.sin(angle) * v + weight * 0.004 * math.cos(angle) * v + 0.5 * 1.225 * 0.25 * v**3) / 0.97
+    assert got[10]["curve"][0]["power"] == 200 and got[20]["curve"][0]["power"] == pytest.approx(watts, rel=0.02)
+    assert [p["power"] for p in got[30]["curve"]] == [0, 0] and got[30]["ftp_auto"] == 0 and got[30]["n_records"] == 0
+    assert got[20]["observed_max"] == 188 and got[20]["max_hr"] == 188 and got[30]["max_hr"] == 160 and got[20]["n_timed"] == 0
+
+
+def test_markers_and_overlay_grades(spark):
+    from pyspark.sql import functions as F
+
+    from velotrace.functions import scalars as S
+
+    rows = spark.createDataFrame([(0.2, 2.0, 0.5), (0.0, 100.0, 0.5), (3.0, 3.0, 1.0), (0.1, 0.3, 1.0), (None, 3.0, 1.0)], "a double, b double, s double")
+    assert [r[0] for r in rows.select(S.distance_markers("a", "b", F.col("s"))).collect()] == [[0.5, 1.0, 1.5, 2.0], [i * 2.0 for i in range(51)], [], [], []]
+    graded = spark.createDataFrame([(1, 0.01, 5.0), (1, 0.02, None), (2, 0.03, None)], "activity_id int, grade double, stored double")
+    assert sorted((r["activity_id"], r["grade_pct"]) for r in summary.overlay_grade(graded, "stored").collect() if r["grade_pct"] is not None) == [(1, 5.0), (2, 3.0)]
+
+
+def test_ride_document_holds_profile_zones_and_segments(spark):
+    sf = "/root/testdata/sf0.001"
+    plain = {r["activity_id"]: r["document"] for r in jobs.QUERIES["t7_context_document"](spark, sf).collect()}
+    full = {r["activity_id"]: r["document"] for r in jobs.QUERIES["t7_ride_context_document"](spark, sf).collect()}
+    assert plain.keys() == full.keys() and all("**Rider:**" in d for d in full.values())
+    ridden = [d for d in full.values() if "Heart-Rate Zones" in d]
+    assert ridden and any("\n\n1. " in d for d in ridden)
+    for i, d in plain.items():
+        blocks = full[i].split("\n\n")
+        assert all(b in blocks for b in d.split("\n\n"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..operators import heart, history, maintain, power, summary
+from ..functions.shared import materialize
+from ..operators import heart, history, maintain, segments, suggestion, summary
 from ..sources import adapters as A
+from . import series_queries as Q
 from .registry import ORACLE_SQL, query, rounded
 
 ACT = A.with_ctes("activities")
@@ -251,20 +253,46 @@ def h12_a18_hr_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("p", S.auto_hr_profile("sex", "age", "resting_hr", "observed_max")).select("athlete_id", "observed_max", "p.*")
 
 
-@query()
+#: Riders of ids divisible by 3 are taken as having no power meter.
+METERLESS = "athlete_id % 3 = 0"
+CURVE = Q.GRADED.replace(f"{Q.R}", f"""{A.with_ctes('activities', 'athletes')}, own AS (SELECT a.activity_id, a.athlete_id, coalesce(a.rider_mass_kg, t.rider_mass_kg) + t.bike_mass_kg AS kg FROM activities a JOIN athletes t USING (athlete_id)
+), samples AS (SELECT r.* REPLACE (CASE WHEN NOT coalesce({METERLESS}, false) THEN r.power END AS power), o.kg, o.athlete_id FROM ({A.RECORDS_SQL}) r LEFT JOIN own o USING (activity_id)
+), cover AS (SELECT athlete_id, count(DISTINCT o.activity_id) AS n_activities, count(s.activity_id) AS n_records, count(*) FILTER (WHERE power >= 0) AS n_power, count(*) FILTER (WHERE power >= 0 AND elapsed_s IS NOT NULL) AS n_timed, max(heart_rate) AS record_max
+  FROM own o LEFT JOIN (SELECT * EXCLUDE (athlete_id) FROM samples) s USING (activity_id) GROUP BY athlete_id
+), records AS (SELECT s.* FROM samples s JOIN cover c USING (athlete_id) WHERE c.n_timed = 0 AND record_index % 5 = 0)""", 1) + f"""
+, pooled AS (SELECT activity_id, record_index, elapsed_ms, power FROM samples JOIN cover USING (athlete_id) WHERE n_timed > 0
+  UNION ALL
+  SELECT activity_id, record_index, elapsed_ms, least(1200, greatest(0, kg * 9.80665 * sin(atan(grade)) * step_ms + kg * 9.80665 * 0.004 * cos(atan(grade)) * step_ms + 0.5 * 1.225 * 0.25 * step_ms * step_ms * step_ms) / 0.97) FROM graded
+  WHERE dt > 0 AND dt <= 5 AND step_ms >= 0.5 AND abs(grade) <= 0.18)""" + Q.mmp_sql()[len(Q.R):].replace("FROM records", "FROM pooled")
+_LISTED = " || ".join(f"coalesce('{n}=' || CAST(round({n}, 1) AS VARCHAR) || ',', '')" for n in ("cp_derived", "mmp_60min", "mmp_close_to_60min", "p20"))
+
+
+@query(f"""{CURVE}, best AS (SELECT athlete_id, duration_s, max(power) AS power FROM mmp JOIN own USING (activity_id) GROUP BY ALL
+), fit AS (SELECT athlete_id, count(*) FILTER (WHERE power > 0) AS n, regr_slope(power, 1.0 / duration_s) FILTER (WHERE power > 0) AS s, regr_intercept(power, 1.0 / duration_s) FILTER (WHERE power > 0) AS i,
+    CASE WHEN var_pop(power) FILTER (WHERE power > 0) = 0 THEN 0 ELSE regr_r2(power, 1.0 / duration_s) FILTER (WHERE power > 0) END AS r,
+    string_agg(CAST(duration_s AS VARCHAR) || ':' || CAST(round(power, 3) AS VARCHAR), ' ' ORDER BY duration_s) AS curve FROM best GROUP BY athlete_id
+), cand AS (SELECT athlete_id, curve, CASE WHEN n >= 3 AND i > 0 AND s >= 0 AND r >= 0.85 THEN i * 0.97 END AS cp_derived, NULL::DOUBLE AS mmp_60min, NULL::DOUBLE AS mmp_close_to_60min, NULL::DOUBLE AS p20 FROM fit
+), o AS (SELECT athlete_id, max(max_hr) AS session_max FROM activities GROUP BY athlete_id
+), m AS (SELECT t.*, greatest(o.session_max, c.record_max) AS observed_max, floor(CASE sex WHEN 'male' THEN 220 WHEN 'female' THEN 226 ELSE 223 END - age + 0.5) AS base, coalesce(n_activities, 0) AS n_activities, coalesce(n_records, 0) AS n_records, coalesce(n_power, 0) AS n_power, coalesce(n_timed, 0) AS n_timed
+  FROM athletes t LEFT JOIN o USING (athlete_id) LEFT JOIN cover c USING (athlete_id)
+), tops AS (SELECT *, CASE WHEN coalesce(observed_max, 0) >= 100 THEN greatest(base, floor(observed_max + 0.5)) ELSE base END AS max_hr FROM m
+), z1 AS (SELECT *, floor(resting_hr + greatest(1, max_hr - resting_hr) * 0.6 + 0.5) AS zone2 FROM tops
+), z2 AS (SELECT *, greatest(floor(resting_hr + greatest(1, max_hr - resting_hr) * 0.7 + 0.5), zone2 + 1) AS zone3 FROM z1
+), z3 AS (SELECT *, greatest(floor(resting_hr + greatest(1, max_hr - resting_hr) * 0.8 + 0.5), zone3 + 1) AS zone4 FROM z2
+), z4 AS (SELECT *, least(greatest(floor(resting_hr + greatest(1, max_hr - resting_hr) * 0.9 + 0.5), zone4 + 1), max_hr) AS zone5 FROM z3)
+SELECT athlete_id, observed_max, max_hr, zone2, zone3, zone4, zone5, CASE WHEN cp_derived BETWEEN 80 AND 500 THEN floor(cp_derived + 0.5) ELSE 0 END AS ftp_auto, coalesce(rtrim({_LISTED}, ','), '') AS candidates,
+  coalesce(curve, '5:0.0 10:0.0 20:0.0 30:0.0 60:0.0') AS curve, n_activities, n_records, n_power, n_timed, CASE WHEN n_timed > 0 THEN 'measured' WHEN curve IS NOT NULL THEN 'estimated' ELSE 'unavailable' END AS power_source
+FROM z4 LEFT JOIN cand USING (athlete_id)""")
 def a24_athlete_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile, curve and threshold-power candidates of every rider that has records."""
-    curve = power.mmp_curve_long(A.records(spark, sf_dir), (5, 10, 20, 30, 60)).withColumnRenamed("activity_id", "athlete_id")
-    best = power.historical_mmp(curve, "athlete_id")
-    fit = power.ftp_candidates(best, "athlete_id").withColumn("ftp_auto", power.select_ftp())
+    """Profile, curve and threshold-power candidates of every athlete, those without a power meter by estimates."""
+    activities, athletes, records = A.activities(spark, sf_dir), A.athletes(spark, sf_dir), A.records(spark, sf_dir)
+    meterless = activities.where(METERLESS).select("activity_id", F.lit(True).alias("_none"))
+    records = records.join(meterless, "activity_id", "left").withColumn("power", F.when(F.col("_none").isNull(), F.col("power"))).drop("_none")
+    rows = suggestion.athlete_suggestion(records, activities, athletes, durations=Q.SHORT)
     names = ("cp_derived", "mmp_60min", "mmp_close_to_60min", "p20")
-    pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in names])
-    listed = F.transform(F.filter(pairs, lambda x: x["v"].isNotNull()), lambda x: F.concat(x["k"], F.lit("="), F.round(x["v"], 1).cast("string")))
-    told = fit.select("athlete_id", "ftp_auto", F.array_join(listed, ",").alias("candidates"))
-    curves = best.groupBy("athlete_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("duration_s", F.round("power", 3).alias("p")))), lambda x: F.concat(x["duration_s"].cast("string"), F.lit(":"), x["p"].cast("string"))), " ").alias("curve"))
-    coverage = power.power_coverage(A.records(spark, sf_dir)).withColumnRenamed("activity_id", "athlete_id")
-    rows = A.athletes(spark, sf_dir).join(heart.observed_max_hr(A.activities(spark, sf_dir)), "athlete_id", "left").join(told, "athlete_id").join(curves, "athlete_id").join(coverage, "athlete_id")
-    return rows.withColumn("p", S.auto_hr_profile("sex", "age", "resting_hr", "observed_max")).select("athlete_id", "observed_max", "p.*", "ftp_auto", "candidates", "curve", "n_records", "n_power", "n_timed", "power_source")
+    listed = F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f"{n}="), F.round(n, 1).cast("string")) for n in names])), ",")
+    curve = F.array_join(F.transform("curve", lambda x: F.concat(x["duration_s"].cast("string"), F.lit(":"), x["power"].cast("string"))), " ")
+    return rows.withColumns({"candidates": listed, "curve": curve}).drop(*names)
 
 
 @query(f"""{ACT}, s AS (SELECT *, CASE activity_id % 4 WHEN 0 THEN 'climb' WHEN 1 THEN 'flat' WHEN 2 THEN 'descent' ELSE 'stopped' END AS kind, activity_id % 5 = 0 AS technical, activity_id % 3 <> 0 AS has_power, activity_id % 7 <> 0 AS has_hr,
@@ -328,6 +356,14 @@ def h23_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("activity_id", F.size("t").cast("long").alias("n_ticks"), F.element_at("t", -1).alias("last_tick")), "last_tick")
 
 
+@query(f"""{ACT}, u AS (SELECT activity_id, total_distance_km AS hi, CASE WHEN total_distance_km / 0.5 > 60 THEN ceil(total_distance_km / 60) ELSE 0.5 END AS step FROM activities)
+SELECT activity_id, CASE WHEN hi > 0 THEN CAST(floor(hi / step) AS BIGINT) + 1 ELSE 0 END AS n_markers, round(CASE WHEN hi > 0 THEN floor(hi / step) * step END, 6) AS last_km FROM u""")
+def h23_distance_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks every half kilometre of a ride, or every few kilometres of a long one."""
+    rows = A.activities(spark, sf_dir).withColumn("m", S.distance_markers(F.lit(0.0), "total_distance_km", F.lit(0.5)))
+    return rounded(rows.select("activity_id", F.size("m").cast("long").alias("n_markers"), F.try_element_at("m", F.lit(-1)).alias("last_km")), "last_km")
+
+
 @query("""SELECT vec_id AS id, CASE WHEN abs(v) >= 1000 THEN printf('%.0f', v) WHEN abs(v) >= 100 THEN printf('%.1f', v) WHEN abs(v) >= 10 THEN printf('%.2f', v) ELSE printf('%.3f', v) END AS t
 FROM (SELECT vec_id, CAST(vec_id % 6007 AS DOUBLE) * CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END / 3 AS v FROM embeddings) e""")
 def h5_format_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,6 +395,18 @@ def t4_recent_history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.recent_history_text(_entries(spark, sf_dir))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The text blocks of all dated activities, in order, and the progress that tells which those are."""
+    activities = A.activities(spark, sf_dir)
+    progress = history.progress_summary(activities)
+    measures = activities.select("activity_id", X.fields_skipping_empty([("Distance", S.format_positive("total_distance_km", 1), "km"), ("Duration", S.format_hms("total_timer_s"), None), ("Average HR", S.format_positive(history.effective_hr(), 0), "bpm")]).alias("text"))
+    baseline = progress.select("activity_id", X.fields_skipping_empty([("Earlier rides", F.nullif("n_prior", F.lit(0)), None), ("Speed trend", F.col("trend_speed"), None), ("HR trend", F.col("trend_hr"), None)]).alias("text"))
+    last = A.analyses(spark, sf_dir).select("activity_id", F.col("analysis_text").alias("text"))
+    chat = A.chats(spark, sf_dir).select("activity_id", X.chat_tail_lines("chat_json").alias("text"))
+    parts = {"measures": measures, "baseline": baseline, "history": summary.recent_history_text(_entries(spark, sf_dir)), "analysis": last, "chat": chat}
+    return parts, progress
+
+
 @query(f"""{HISTORY}, progress AS ({ORACLE_SQL['j5_a22_progress_summary']}
 ), said AS (SELECT conv_id AS activity_id, CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS newest
   FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''
@@ -370,13 +418,25 @@ SELECT p.activity_id, concat_ws(chr(10) || chr(10), m.text, concat_ws(chr(10), '
 FROM progress p LEFT JOIN measures m USING (activity_id) LEFT JOIN history h USING (activity_id) LEFT JOIN analyses n USING (activity_id) LEFT JOIN chat c USING (activity_id)""")
 def t7_context_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents for a model of all dated activities: measures, progress, history, last analysis, chat."""
-    activities = A.activities(spark, sf_dir)
-    progress = history.progress_summary(activities)
-    measures = activities.select("activity_id", X.fields_skipping_empty([("Distance", S.format_positive("total_distance_km", 1), "km"), ("Duration", S.format_hms("total_timer_s"), None), ("Average HR", S.format_positive(history.effective_hr(), 0), "bpm")]).alias("text"))
-    baseline = progress.select("activity_id", X.fields_skipping_empty([("Earlier rides", F.nullif("n_prior", F.lit(0)), None), ("Speed trend", F.col("trend_speed"), None), ("HR trend", F.col("trend_hr"), None)]).alias("text"))
-    last = A.analyses(spark, sf_dir).select("activity_id", F.col("analysis_text").alias("text"))
-    chat = A.chats(spark, sf_dir).select("activity_id", X.chat_tail_lines("chat_json").alias("text"))
-    parts = {"measures": measures, "baseline": baseline, "history": summary.recent_history_text(_entries(spark, sf_dir)), "analysis": last, "chat": chat}
-    return summary.context_document(parts, progress)
+    return summary.context_document(*_blocks(spark, sf_dir))
 
 
+@query()
+def t7_ride_context_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with the rider's profile, the time in zones and the segments of rides that have records."""
+    parts, progress = _blocks(spark, sf_dir)
+    activities, records = A.activities(spark, sf_dir), A.records(spark, sf_dir)
+    riders = activities.select("activity_id", "athlete_id", "sport", F.col("rider_mass_kg").alias("_own")).join(A.athletes(spark, sf_dir), "athlete_id").withColumn("rider_mass_kg", F.coalesce("_own", "rider_mass_kg"))
+    found = heart.hr_profile_as_of(activities, A.hr_profiles(spark, sf_dir)).select("activity_id", "profile.*")
+    own = F.array_compact(F.array(*[F.col(f"zone{i}").cast("double") for i in range(2, 6)]))
+    limits = found.where("max_hr IS NOT NULL").select("activity_id", F.col("max_hr").cast("double").alias("top_hr"), own.alias("_own"))
+    limits = limits.select("activity_id", "top_hr", S.zone_thresholds("top_hr", F.col("_own")).alias("thresholds"))
+    recorded = limits.join(records.select("activity_id").distinct(), "activity_id", "left_semi")
+    context = riders.select("activity_id", "sport", "ftp", F.col("resting_hr").alias("rest_hr"), "sex").join(limits.select("activity_id", "top_hr"), "activity_id", "left").withColumn("power_source", F.lit("measured"))
+    built = materialize(segments.build_segments(records, context, min_seconds=20.0, drift_s=40.0, least=2.0), "segments")
+    blocks = {
+        "profile": summary.profile_text(riders.join(limits.select("activity_id", "top_hr"), "activity_id", "left")),
+        "zones": summary.zone_context(heart.hr_zone_time(records, recorded), recorded), "segments": summary.segment_context(built),
+    }
+    order = ("measures", "baseline", "profile", "zones", "history", "segments", "analysis", "chat")
+    return summary.context_document({n: (parts | blocks)[n] for n in order}, progress)

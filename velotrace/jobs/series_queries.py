@@ -72,7 +72,7 @@ RUNS = f"""{R}, valid AS (SELECT * FROM records WHERE power >= 0
 ), runs AS (SELECT *, sum(new) OVER (PARTITION BY activity_id ORDER BY elapsed_ms, record_index ROWS UNBOUNDED PRECEDING) AS run FROM marked)"""
 
 
-def _mmp_sql() -> str:
+def mmp_sql() -> str:
     parts = [
         f"""SELECT activity_id, {d} AS duration_s, coalesce(max(CASE WHEN span >= {d * 1000} THEN m END), 0) AS power FROM (
       SELECT activity_id, avg(power) OVER w AS m, max(elapsed_ms) OVER w - elapsed_ms AS span FROM runs
@@ -189,18 +189,18 @@ def j8_records_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.mark_intervals(records, series.detect_stops(records, least=2.0)).select("activity_id", "record_index", "stopped")
 
 
-@query(f"{_mmp_sql()} SELECT activity_id, duration_s, round(power, 6) AS power FROM mmp")
+@query(f"{mmp_sql()} SELECT activity_id, duration_s, round(power, 6) AS power FROM mmp")
 def a5_mmp_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.mmp_curve(A.records(spark, sf_dir), SHORT), "power")
 
 
-@query(f"{_mmp_sql()} SELECT activity_id, duration_s, round(power, 6) AS power FROM mmp")
+@query(f"{mmp_sql()} SELECT activity_id, duration_s, round(power, 6) AS power FROM mmp")
 def a5_mmp_curve_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same curve by prefix sums, as used for long durations."""
     return rounded(power.mmp_curve_long(A.records(spark, sf_dir), SHORT), "power")
 
 
-@query(f"""{_mmp_sql()}, best AS (SELECT activity_id % 10 AS team, duration_s, max(power) AS power FROM mmp GROUP BY ALL
+@query(f"""{mmp_sql()}, best AS (SELECT activity_id % 10 AS team, duration_s, max(power) AS power FROM mmp GROUP BY ALL
 ), fit AS (SELECT team, count(*) FILTER (WHERE power > 0) AS n, regr_slope(power, 1.0 / duration_s) FILTER (WHERE power > 0) AS s, regr_intercept(power, 1.0 / duration_s) FILTER (WHERE power > 0) AS i,
   CASE WHEN var_pop(power) FILTER (WHERE power > 0) = 0 THEN 0 ELSE regr_r2(power, 1.0 / duration_s) FILTER (WHERE power > 0) END AS r FROM best GROUP BY team)
 SELECT team, round(CASE WHEN ok THEN i END, 6) AS cp, round(CASE WHEN ok THEN s END, 6) AS w_prime, round(CASE WHEN ok THEN r END, 6) AS r_squared, CASE WHEN ok AND i * 0.97 BETWEEN 80 AND 500 THEN floor(i * 0.97 + 0.5) ELSE 0 END AS ftp
@@ -325,6 +325,14 @@ def t5_overlay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.overlay_metrics(A.records(spark, sf_dir), most=None)
 
 
+@query(f"""{GRADED}, v AS (SELECT *, grade * 100 AS value, count(grade) OVER w AS n, min(grade) OVER w AS lo, max(grade) OVER w AS hi FROM graded WHERE grade IS NOT NULL AND distance_km IS NOT NULL WINDOW w AS (PARTITION BY activity_id))
+SELECT activity_id, 'grade_pct' AS channel, record_index, distance_km, round(value, 6) AS value FROM v WHERE n >= 2 AND lo <> hi""")
+def t5_overlay_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grade channel of the overlays, computed as no record stores one."""
+    graded = summary.overlay_grade(series.compute_grade(A.records(spark, sf_dir)))
+    return rounded(summary.overlay_metrics(graded, most=None, channels=("grade_pct",)), "value")
+
+
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("activity_id")).distinct()
     sport = F.element_at(F.array(F.lit("cycling"), F.lit("running"), F.lit("rowing")), F.pmod("activity_id", F.lit(3)).cast("int") + 1)
@@ -362,13 +370,13 @@ def a17_a23_segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a1_activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.activity_summary(A.records(spark, sf_dir), _context(spark, sf_dir))
+    return summary.activity_summary(A.records(spark, sf_dir), _context(spark, sf_dir), A.activities(spark, sf_dir))
 
 
 @query()
 def j9_compare_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every activity beside the next one by id."""
-    measures = summary.activity_summary(A.records(spark, sf_dir), _context(spark, sf_dir))
+    measures = materialize(summary.activity_summary(A.records(spark, sf_dir), _context(spark, sf_dir), A.activities(spark, sf_dir)), "summaries")
     return summary.compare_activities(measures, summary.next_activities(_context(spark, sf_dir)))
 
 
