@@ -380,7 +380,24 @@ def j9_compare_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.compare_activities(measures, summary.next_activities(_context(spark, sf_dir)))
 
 
-@query()
+def _repaired(c: str, n: str, f: str, most: float, ratio: float) -> str:
+    """The despiked value of a row whose repaired predecessor is ``f`` and whose successor is ``n``."""
+    mid = f"({f} + {n}) / 2"
+    size = f"greatest(1, abs({mid}))"
+    return f"CASE WHEN {n} IS NOT NULL AND abs({n} - {f}) / {size} < {ratio} AND abs({c} - {mid}) > {most} AND abs({c} - {mid}) / {size} > {ratio} THEN {mid} ELSE {c} END"
+
+
+@query(f"""{R}, v AS (SELECT activity_id, row_number() OVER ({W_}) AS i, elapsed_ms, elapsed_s AS t, power AS c, heart_rate AS h, lead(power) OVER ({W_}) AS cn, lead(heart_rate) OVER ({W_}) AS hn FROM records
+  WHERE elapsed_s IS NOT NULL AND power >= 0 AND heart_rate > 0
+), d AS (
+  SELECT activity_id, i, elapsed_ms, t, c AS p, h AS q FROM v WHERE i = 1
+  UNION ALL
+  SELECT v.activity_id, v.i, v.elapsed_ms, v.t, {_repaired('v.c', 'v.cn', 'd.p', 250, 0.6)}, {_repaired('v.h', 'v.hn', 'd.q', 25, 0.25)} FROM d JOIN v ON v.activity_id = d.activity_id AND v.i = d.i + 1
+), means AS (SELECT x.activity_id, x.i, x.t, avg(y.p) AS p, avg(y.q) AS q FROM d x JOIN d y ON y.activity_id = x.activity_id AND y.i <= x.i AND y.t > x.t - 60 GROUP BY ALL
+), e AS (SELECT activity_id, t, least(greatest(p / 200, 0), 2) AS f, least(greatest((q - 50) / 140, 0), 2) AS r, count(*) OVER (PARTITION BY activity_id) AS n FROM means
+), g AS (SELECT activity_id, r / f AS x, t <= min(t) OVER o + (max(t) OVER o - min(t) OVER o) / 2 AS early FROM e WHERE n >= 10 AND f >= 0.05 AND r > 0 WINDOW o AS (PARTITION BY activity_id)
+), s AS (SELECT activity_id, count(*) FILTER (WHERE early) AS na, count(*) FILTER (WHERE NOT early) AS nb, avg(x) FILTER (WHERE early) AS a, avg(x) FILTER (WHERE NOT early) AS b FROM g GROUP BY activity_id)
+SELECT activity_id, round(CASE WHEN na >= 4 AND nb >= 4 AND a > 0 THEN (b - a) / a * 100 ELSE 0 END, 6) AS decoupling_pct FROM (SELECT DISTINCT activity_id FROM records) i LEFT JOIN s USING (activity_id)""")
 def a4_decoupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.decoupling(A.records(spark, sf_dir), _context(spark, sf_dir)), "decoupling_pct")
 
