@@ -51,7 +51,6 @@ def test_mmp_and_auto_ftp(spark):
     steps = ride(spark, 121, power=lambda i: 200 if 30 <= i < 91 else 100)
     curve = {r["duration_s"]: r["power"] for r in power.mmp_curve(steps, (60, 300)).collect()}
     assert curve == {60: 200, 300: 0}
-    assert curve == {r["duration_s"]: r["power"] for r in power.mmp_curve_long(steps, (60, 300)).collect()}
     assert power.auto_ftp(ride(spark, 1260, power=lambda i: 250)).first()["ftp"] == 238
     assert power.auto_ftp(ride(spark, 600, power=lambda i: 250)).first()["ftp"] == 0
 
@@ -168,6 +167,39 @@ def test_text(spark):
     assert [tuple(b) for b in row["b"]] == [("Preamble", 3), ("Head", 12), ("Two", 7)]
 
 
+def test_mmp_against_all_windows(spark):
+    rng = random.Random(5)
+    times = [0]
+    for _ in range(299):
+        times.append(times[-1] + rng.choice([0, 1, 1, 1, 2, 9]) * 1000)
+    watts = [float(rng.randrange(300)) if rng.random() > 0.1 else None for _ in times]
+    rows = spark.createDataFrame([(1, i, t, w) for i, (t, w) in enumerate(zip(times, watts, strict=True))], "activity_id long, record_index long, elapsed_ms long, power double")
+    known, durations, runs = [(t, w) for t, w in zip(times, watts, strict=True) if w is not None], (1, 2, 5, 10, 20), []
+    for t, w in known:
+        if not runs or t - runs[-1][-1][0] > 5000:
+            runs.append([])
+        runs[-1].append((t, w))
+    want = dict.fromkeys(durations, 0.0)
+    for d in durations:
+        for run in runs:
+            for t, _ in run:
+                inside = [w for u, w in run if t <= u <= t + d * 1000]
+                if max(u for u, _ in run if u <= t + d * 1000) - t >= d * 1000:
+                    want[d] = max(want[d], sum(inside) / len(inside))
+    got = {r["duration_s"]: r["power"] for r in power.mmp_curve(rows, durations).collect()}
+    assert got == pytest.approx(want) and want[10] > 0
+
+
+def test_max_speed_against_the_loop(spark):
+    rng = random.Random(6)
+    speeds = [rng.choice([20.0, 21.0, 22.0, 60.0, 5.0, None]) for _ in range(400)]
+    want = kernels.despike(np.array([v for v in speeds if v is not None]), 12, 0.5).max()
+    odd = ride(spark, 400, speed=lambda i: speeds[i])
+    assert summary.max_despiked_speed(odd).first()["max_speed"] == pytest.approx(want)
+    calm = ride(spark, 5, speed=lambda i: [10.0, 10.0, 90.0, 10.0, 10.0][i])
+    assert summary.max_despiked_speed(calm).first()["max_speed"] == 10
+
+
 def test_recordings_and_patches(spark):
     files = spark.createDataFrame([("a/x.FIT",), ("a/node_modules/y.fit",), (".git/z.fit",), ("a/b.txt",)], "path string")
     assert [r["path"] for r in maintain.recordings(files).collect()] == ["a/x.FIT"]
@@ -195,3 +227,25 @@ def test_incremental_indexing(spark, tmp_path):
     indexing.index_available(spark, source, schema, target, state)
     rows = values(indexing.latest_version(spark, target).select("file_path", "total_distance_km", "rider_mass_kg"), "file_path")
     assert rows == [("a", 11.0, 70.0), ("b", 5.0, None)]
+
+
+def test_indexing_writes_touched_buckets_only(spark, tmp_path):
+    from velotrace.streaming import indexing
+
+    target = f"file://{tmp_path}/table"
+    cols = "activity_id long, file_path string, total_distance_km double, rider_mass_kg double, manual_avg_hr double, imported_s long"
+    batch = lambda rows: spark.createDataFrame([(i, p, km, None, None, at) for i, p, km, at in rows], cols)
+    indexing.merge_batch(batch([(i, f"f{i}", 1.0, 0) for i in range(50)]), 0, target, 8)
+    indexing.merge_batch(batch([(3, "f3", 2.0, 1)]), 1, target, 8)
+    once = values(indexing.latest_version(spark, target).select("file_path", "total_distance_km"), "file_path")
+    indexing.merge_batch(batch([(3, "f3", 2.0, 1)]), 1, target, 8)  # repeated after a failure
+    again = values(indexing.latest_version(spark, target).select("file_path", "total_distance_km"), "file_path")
+    assert once == again and len(once) == 50 and ("f3", 2.0) in once
+    assert len(list((tmp_path / "table").glob("version=0000000001/bucket=*"))) == 1
+    assert len(list((tmp_path / "table").glob("version=0000000000/bucket=*"))) == 8
+    indexing.merge_batch(batch([(4, "new", 2.0, 1)]), 2, target, 8)
+    assert indexing.latest_version(spark, target).count() == 51
+    # a part that a finished batch has replaced is gone
+    assert len(list((tmp_path / "table").glob("version=0000000000/bucket=*"))) == 7
+    indexing.merge_batch(batch([]), 3, target, 8)
+    assert indexing.latest_version(spark, target).count() == 51

@@ -72,12 +72,12 @@ RUNS = f"""{R}, valid AS (SELECT * FROM records WHERE power >= 0
 ), runs AS (SELECT *, sum(new) OVER (PARTITION BY activity_id ORDER BY elapsed_ms, record_index ROWS UNBOUNDED PRECEDING) AS run FROM marked)"""
 
 
-def mmp_sql() -> str:
+def mmp_sql(durations: tuple[int, ...] = SHORT) -> str:
     parts = [
         f"""SELECT activity_id, {d} AS duration_s, coalesce(max(CASE WHEN span >= {d * 1000} THEN m END), 0) AS power FROM (
       SELECT activity_id, avg(power) OVER w AS m, max(elapsed_ms) OVER w - elapsed_ms AS span FROM runs
       WINDOW w AS (PARTITION BY activity_id, run ORDER BY elapsed_ms RANGE BETWEEN CURRENT ROW AND {d * 1000} FOLLOWING)) t GROUP BY activity_id"""
-        for d in SHORT
+        for d in durations
     ]
     return f"{RUNS}, mmp AS ({' UNION ALL '.join(parts)})"
 
@@ -194,10 +194,10 @@ def a5_mmp_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.mmp_curve(A.records(spark, sf_dir), SHORT), "power")
 
 
-@query(f"{mmp_sql()} SELECT activity_id, duration_s, round(power, 6) AS power FROM mmp")
+@query(f"{mmp_sql(SHORT + power.DURATIONS[1:])} SELECT activity_id, duration_s, round(power, 6) AS power FROM mmp")
 def a5_mmp_curve_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same curve by prefix sums, as used for long durations."""
-    return rounded(power.mmp_curve_long(A.records(spark, sf_dir), SHORT), "power")
+    """The same curve with the operator's own durations up to an hour."""
+    return rounded(power.mmp_curve(A.records(spark, sf_dir), SHORT + power.DURATIONS[1:]), "power")
 
 
 @query(f"""{mmp_sql()}, best AS (SELECT activity_id % 10 AS team, duration_s, max(power) AS power FROM mmp GROUP BY ALL
@@ -226,29 +226,38 @@ XP = f"""{R}, v AS (SELECT activity_id, row_number() OVER ({W_}) AS i, elapsed_s
   SELECT v.activity_id, v.i, v.t, x.f + (1 - exp(-(CASE WHEN v.t - x.t > 0 THEN least(v.t - x.t, 30) ELSE 1 END) / 25)) * (v.p - x.f) FROM x JOIN v ON v.activity_id = x.activity_id AND v.i = x.i + 1)"""
 
 
-@query(f"{XP} SELECT activity_id, round(pow(avg(pow(f, 4)), 0.25), 6) AS xpower FROM x GROUP BY activity_id")
+XPOWER = f"{XP} SELECT activity_id, pow(avg(pow(f, 4)), 0.25) AS xpower FROM x GROUP BY activity_id"
+
+
+@query(f"SELECT activity_id, round(xpower, 6) AS xpower FROM ({XPOWER})")
 def w7_a3_xpower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.x_power(A.records(spark, sf_dir)), "xpower")
 
 
-@query(f"""{R}, a AS (SELECT activity_id, row_number() OVER ({W_}) AS i, avg(altitude_m) OVER ({W_} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM records WHERE altitude_m IS NOT NULL
+ELEVATION = f"""{R}, a AS (SELECT activity_id, row_number() OVER ({W_}) AS i, avg(altitude_m) OVER ({W_} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM records WHERE altitude_m IS NOT NULL
 ), e AS (
   SELECT activity_id, i, a AS ref, 0::DOUBLE AS up, 0::DOUBLE AS down FROM a WHERE i = 1
   UNION ALL
   SELECT a.activity_id, a.i, CASE WHEN abs(a.a - e.ref) >= 3 THEN a.a ELSE e.ref END, e.up + CASE WHEN a.a - e.ref >= 3 THEN a.a - e.ref ELSE 0 END, e.down + CASE WHEN e.ref - a.a >= 3 THEN e.ref - a.a ELSE 0 END
   FROM e JOIN a ON a.activity_id = e.activity_id AND a.i = e.i + 1)
-SELECT activity_id, round(max(up), 6) AS gain_m, round(max(down), 6) AS loss_m FROM e GROUP BY activity_id""")
+SELECT activity_id, max(up) AS gain_m, max(down) AS loss_m FROM e GROUP BY activity_id"""
+
+
+@query(f"SELECT activity_id, round(gain_m, 6) AS gain_m, round(loss_m, 6) AS loss_m FROM ({ELEVATION})")
 def w19_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.elevation_gain_loss(A.records(spark, sf_dir)), "gain_m", "loss_m")
 
 
-@query(f"""{R}, v AS (SELECT activity_id, row_number() OVER ({W_}) AS i, speed_kmh AS c, lead(speed_kmh) OVER ({W_}) AS n FROM records WHERE speed_kmh IS NOT NULL
+DESPIKED = f"""{R}, v AS (SELECT activity_id, row_number() OVER ({W_}) AS i, speed_kmh AS c, lead(speed_kmh) OVER ({W_}) AS n FROM records WHERE speed_kmh IS NOT NULL
 ), d AS (
   SELECT activity_id, i, c AS f FROM v WHERE i = 1
   UNION ALL
   SELECT v.activity_id, v.i, CASE WHEN v.n IS NOT NULL AND abs(v.n - d.f) / greatest(1, abs((d.f + v.n) / 2)) < 0.5 AND abs(v.c - (d.f + v.n) / 2) > 12
     AND abs(v.c - (d.f + v.n) / 2) / greatest(1, abs((d.f + v.n) / 2)) > 0.5 THEN (d.f + v.n) / 2 ELSE v.c END FROM d JOIN v ON v.activity_id = d.activity_id AND v.i = d.i + 1)
-SELECT activity_id, round(max(f), 6) AS max_speed FROM d GROUP BY activity_id""")
+SELECT activity_id, max(f) AS max_speed FROM d GROUP BY activity_id"""
+
+
+@query(f"SELECT activity_id, round(max_speed, 6) AS max_speed FROM ({DESPIKED})")
 def w3_despiked_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.max_despiked_speed(A.records(spark, sf_dir)), "max_speed")
 
@@ -368,18 +377,6 @@ def a17_a23_segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.segment_context(_segments(spark, sf_dir))
 
 
-@query()
-def a1_activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.activity_summary(A.records(spark, sf_dir), _context(spark, sf_dir), A.activities(spark, sf_dir))
-
-
-@query()
-def j9_compare_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every activity beside the next one by id."""
-    measures = materialize(summary.activity_summary(A.records(spark, sf_dir), _context(spark, sf_dir), A.activities(spark, sf_dir)), "summaries")
-    return summary.compare_activities(measures, summary.next_activities(_context(spark, sf_dir)))
-
-
 def _repaired(c: str, n: str, f: str, most: float, ratio: float) -> str:
     """The despiked value of a row whose repaired predecessor is ``f`` and whose successor is ``n``."""
     mid = f"({f} + {n}) / 2"
@@ -387,7 +384,7 @@ def _repaired(c: str, n: str, f: str, most: float, ratio: float) -> str:
     return f"CASE WHEN {n} IS NOT NULL AND abs({n} - {f}) / {size} < {ratio} AND abs({c} - {mid}) > {most} AND abs({c} - {mid}) / {size} > {ratio} THEN {mid} ELSE {c} END"
 
 
-@query(f"""{R}, v AS (SELECT activity_id, row_number() OVER ({W_}) AS i, elapsed_ms, elapsed_s AS t, power AS c, heart_rate AS h, lead(power) OVER ({W_}) AS cn, lead(heart_rate) OVER ({W_}) AS hn FROM records
+DECOUPLING = f"""{R}, v AS (SELECT activity_id, row_number() OVER ({W_}) AS i, elapsed_ms, elapsed_s AS t, power AS c, heart_rate AS h, lead(power) OVER ({W_}) AS cn, lead(heart_rate) OVER ({W_}) AS hn FROM records
   WHERE elapsed_s IS NOT NULL AND power >= 0 AND heart_rate > 0
 ), d AS (
   SELECT activity_id, i, elapsed_ms, t, c AS p, h AS q FROM v WHERE i = 1
@@ -397,11 +394,54 @@ def _repaired(c: str, n: str, f: str, most: float, ratio: float) -> str:
 ), e AS (SELECT activity_id, t, least(greatest(p / 200, 0), 2) AS f, least(greatest((q - 50) / 140, 0), 2) AS r, count(*) OVER (PARTITION BY activity_id) AS n FROM means
 ), g AS (SELECT activity_id, r / f AS x, t <= min(t) OVER o + (max(t) OVER o - min(t) OVER o) / 2 AS early FROM e WHERE n >= 10 AND f >= 0.05 AND r > 0 WINDOW o AS (PARTITION BY activity_id)
 ), s AS (SELECT activity_id, count(*) FILTER (WHERE early) AS na, count(*) FILTER (WHERE NOT early) AS nb, avg(x) FILTER (WHERE early) AS a, avg(x) FILTER (WHERE NOT early) AS b FROM g GROUP BY activity_id)
-SELECT activity_id, round(CASE WHEN na >= 4 AND nb >= 4 AND a > 0 THEN (b - a) / a * 100 ELSE 0 END, 6) AS decoupling_pct FROM (SELECT DISTINCT activity_id FROM records) i LEFT JOIN s USING (activity_id)""")
+SELECT activity_id, CASE WHEN na >= 4 AND nb >= 4 AND a > 0 THEN (b - a) / a * 100 ELSE 0 END AS decoupling_pct FROM (SELECT DISTINCT activity_id FROM records) i LEFT JOIN s USING (activity_id)"""
+
+
+@query(f"SELECT activity_id, round(decoupling_pct, 6) AS decoupling_pct FROM ({DECOUPLING})")
 def a4_decoupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.decoupling(A.records(spark, sf_dir), _context(spark, sf_dir)), "decoupling_pct")
 
 
+SUMMARY = f"""{A.with_ctes("records", "activities")}, base AS (
+  SELECT activity_id, count(*) AS n_records, coalesce(max(distance_km), 0) AS km, coalesce(max(elapsed_s), 0) AS secs, coalesce(avg(power) FILTER (WHERE power >= 0), 0) AS avg_power, coalesce(max(power) FILTER (WHERE power >= 0), 0) AS max_power,
+    coalesce(avg(cadence) FILTER (WHERE cadence > 0), 0) AS avg_cadence, coalesce(max(cadence) FILTER (WHERE cadence > 0), 0) AS max_cadence, avg(heart_rate) FILTER (WHERE heart_rate > 0) AS hr, max(heart_rate) FILTER (WHERE heart_rate > 0) AS top,
+    coalesce(avg(speed_kmh) FILTER (WHERE speed_kmh > 0), 0) AS v FROM records GROUP BY activity_id
+), told AS (
+  SELECT b.*, coalesce(s.total_distance_km, b.km) AS distance_km, coalesce(s.total_timer_s, b.secs) AS duration_s, coalesce(b.hr, s.avg_hr, 0) AS avg_hr, coalesce(b.top, s.max_hr, 0) AS max_hr,
+    CASE WHEN s.avg_speed_kmh > 0 THEN s.avg_speed_kmh END AS own_avg, CASE WHEN s.max_speed_kmh > 0 THEN s.max_speed_kmh END AS own_max FROM base b LEFT JOIN activities s USING (activity_id)
+), rolled AS (
+  SELECT activity_id, avg(power) OVER (PARTITION BY activity_id ORDER BY elapsed_ms RANGE BETWEEN 29999 PRECEDING AND CURRENT ROW) AS m FROM records WHERE power >= 0
+), parts AS (
+  SELECT t.*, coalesce(np.np, 0) AS np, coalesce(xp.xpower, 0) AS xpower, coalesce(sp.max_speed, 0) AS despiked, coalesce(el.gain_m, 0) AS gain_m, coalesce(el.loss_m, 0) AS loss_m, coalesce(de.decoupling_pct, 0) AS decoupling_pct,
+    least(greatest((t.avg_hr - 50) / 140, 0), 1.5) AS r
+  FROM told t LEFT JOIN (SELECT activity_id, pow(avg(pow(m, 4)), 0.25) AS np FROM rolled GROUP BY activity_id) np USING (activity_id) LEFT JOIN ({XPOWER}) xp USING (activity_id) LEFT JOIN ({DESPIKED}) sp USING (activity_id)
+    LEFT JOIN ({ELEVATION}) el USING (activity_id) LEFT JOIN ({DECOUPLING}) de USING (activity_id))
+SELECT activity_id, n_records, distance_km, duration_s, CASE WHEN own_avg IS NOT NULL THEN own_avg WHEN distance_km > 0 AND duration_s > 0 THEN distance_km / (duration_s / 3600) ELSE v END AS avg_speed, coalesce(own_max, despiked) AS max_speed,
+  avg_power, max_power, avg_cadence, max_cadence, avg_hr, max_hr, np, np / 200 AS intensity, CASE WHEN duration_s > 0 THEN duration_s * np * (np / 200) / (200 * 3600) * 100 ELSE 0 END AS tss,
+  xpower, xpower / 200 AS relative_intensity, CASE WHEN duration_s > 0 THEN duration_s * xpower * (xpower / 200) / (200 * 3600) * 100 ELSE 0 END AS bike_stress, decoupling_pct,
+  CASE WHEN duration_s > 0 THEN duration_s / 60 * r * 0.64 * exp(1.92 * r) ELSE 0 END AS trimp, CASE WHEN duration_s > 0 THEN duration_s / 3600 * r * r * 100 ELSE 0 END AS hr_tss, gain_m, loss_m FROM parts"""
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of all test activities; their parts share one written table of records."""
+    return summary.activity_summary(materialize(A.records(spark, sf_dir), "records"), _context(spark, sf_dir), A.activities(spark, sf_dir))
+
+
+@query(f"SELECT activity_id, n_records, round(COLUMNS(* EXCLUDE (activity_id, n_records)), 6) FROM ({SUMMARY})")
+def a1_activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _summaries(spark, sf_dir)
+    return rounded(out, *[c for c in out.columns if c not in ("activity_id", "n_records")])
+
+
+@query(f"""WITH m AS ({SUMMARY}), p AS (SELECT activity_id AS left_id, lead(activity_id) OVER (ORDER BY activity_id) AS right_id FROM m
+), l AS (UNPIVOT (SELECT activity_id, CAST(COLUMNS(* EXCLUDE activity_id) AS DOUBLE) FROM m) ON COLUMNS(* EXCLUDE activity_id) INTO NAME measure VALUE value)
+SELECT left_id, right_id, a.measure, round(a.value, 6) AS left_value, round(b.value, 6) AS right_value FROM p JOIN l a ON a.activity_id = left_id JOIN l b ON b.activity_id = right_id AND b.measure = a.measure""")
+def j9_compare_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every activity beside the next one by id."""
+    measures = materialize(_summaries(spark, sf_dir), "summaries")
+    return rounded(summary.compare_activities(measures, summary.next_activities(_context(spark, sf_dir))), "left_value", "right_value")
+
+
 @query(f"""{R} SELECT activity_id, count(*) AS n_records, round(sum(elapsed_s), 6) AS sum_elapsed FROM records GROUP BY activity_id""")
 def p15_activity_with_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested export rows, told by the number and sum of their records."""

@@ -37,33 +37,26 @@ def x_power(records: DataFrame, tau: float = 25.0) -> DataFrame:
 
 
 def mmp_curve(records: DataFrame, durations: tuple[int, ...] = DURATIONS, gap: float = 5.0) -> DataFrame:
-    """``activity_id, duration_s, power`` from built-in range windows; one shuffle and sort for all durations.
+    """``activity_id, duration_s, power``: best mean over ``[t, t + d]`` inside a run that spans d; 0 if there is none.
 
-    A frame is aggregated anew for each row, so this suits durations of
-    seconds to minutes; see :func:`mmp_curve_long` for hours.
+    A window that spans d ends in a row at ``t + d``, so prefix sums and a frame
+    of that one time give its mean: a few rows in memory, whatever the duration,
+    and one shuffle and sort for all durations. Rows of equal time count together.
     """
-    rows = effort_runs(records, gap)
-    best = []
+    rows = effort_runs(records, gap).select(ACTIVITY, "run", "elapsed_ms", "power")
+    w, best = in_time("run"), []
+    upto, before = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "_upto": F.struct(F.sum("power").over(upto).alias("p"), F.count("*").over(upto).alias("n")),
+        "_p": F.coalesce(F.sum("power").over(before), F.lit(0.0)), "_n": F.count("*").over(before),
+    })
     for d in durations:
-        w = in_time("run").rangeBetween(0, d * 1000)
-        span = F.max("elapsed_ms").over(w) - F.col("elapsed_ms") >= d * 1000
-        rows = rows.withColumn(f"_m{d}", F.when(span, F.avg("power").over(w)))
+        end = F.first("_upto").over(w.rangeBetween(d * 1000, d * 1000))
+        rows = rows.withColumn(f"_m{d}", (end["p"] - F.col("_p")) / (end["n"] - F.col("_n")))
         best.append(F.struct(F.lit(d).alias("duration_s"), F.coalesce(F.max(f"_m{d}"), F.lit(0.0)).alias("power")))
     return rows.groupBy(ACTIVITY).agg(F.array(*best).alias("c")).select(ACTIVITY, F.explode("c").alias("c")).select(ACTIVITY, "c.*")
 
 
-def mmp_curve_long(records: DataFrame, durations: tuple[int, ...] = DURATIONS, gap: float = 5.0) -> DataFrame:
-    """The same by one prefix sum per activity for all durations, whatever their length."""
-
-    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["elapsed_ms", ORDER])
-        best = kernels.best_means(pdf["elapsed_ms"].to_numpy() / 1000, pdf["power"].to_numpy(float), pdf["run"].to_numpy(), list(durations))
-        return pd.DataFrame({ACTIVITY: pdf[ACTIVITY].iloc[0], "duration_s": list(durations), "power": best})
-
-    rows = effort_runs(records, gap).select(ACTIVITY, ORDER, "elapsed_ms", "power", "run")
-    return rows.groupBy(ACTIVITY).applyInPandas(curve, f"{ACTIVITY} long, duration_s int, power double")
-
-
 def historical_mmp(curves: DataFrame, *keys: str) -> DataFrame:
     """Best power per duration (and ``keys``) over all activities."""
     return curves.groupBy(*keys, "duration_s").agg(F.max("power").alias("power"))

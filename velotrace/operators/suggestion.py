@@ -32,7 +32,7 @@ def athlete_suggestion(records: DataFrame, activities: DataFrame, athletes: Data
     fields = [*records.columns]
     guessed = series.compute_grade(stride_filter(owned.where("NOT measured"), stride)).withColumn("power", series.estimate_power("rider", "bike"))
     rows = owned.where("measured").select(*fields).unionByName(guessed.where("power IS NOT NULL").select(*fields))
-    best = power.historical_mmp(power.mmp_curve_long(rows, durations).join(owners.select(ACTIVITY, "athlete_id"), ACTIVITY), "athlete_id")
+    best = power.historical_mmp(power.mmp_curve(rows, durations).join(owners.select(ACTIVITY, "athlete_id"), ACTIVITY), "athlete_id")
     points = F.array_sort(F.collect_list(F.struct("duration_s", F.round("power", 3).alias("power"))))
     curves = best.groupBy("athlete_id").agg(points.alias("curve"))
     fit = power.ftp_candidates(best, "athlete_id").withColumn("ftp_auto", power.select_ftp())
