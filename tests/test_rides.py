@@ -205,6 +205,23 @@ def test_recordings_and_patches(spark):
     assert [r["path"] for r in maintain.recordings(files).collect()] == ["a/x.FIT"]
     log = spark.createDataFrame([(1, 1, 5.0, None), (1, 2, None, 6.0), (1, 3, 7.0, None)], "athlete_id long, at int, age double, ftp double")
     assert values(maintain.latest_patch(log, "athlete_id", "at"), "athlete_id") == [(1, 7.0, 6.0)]
+    assert values(maintain.patch_log_rows(log, "athlete_id", "at"), "at") == [(1, 1, 5.0, None), (1, 2, 5.0, 6.0), (1, 3, 7.0, 6.0)]
+
+
+def test_sessions_by_gap(spark, tmp_path):
+    from velotrace.streaming import indexing
+
+    source = f"file://{tmp_path}/samples"
+    seconds = [0, 3, 6, 20, 22, 60]
+    rows = spark.createDataFrame([(1, s, 100.0 + s) for s in seconds], "activity_id long, s long, power double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    rows.write.parquet(source)
+    # a later sample moves the watermark past the runs
+    rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1_700_001_000))).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    query = indexing.sessions_by_gap(stream).writeStream.format("memory").queryName("runs_by_gap").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/state").start()
+    query.awaitTermination()
+    got = spark.table("runs_by_gap").select(F.unix_timestamp("start_ts") - 1_700_000_000, "n", "avg_power")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 3, 103.0), (20, 2, 121.0), (60, 1, 160.0)]
 
 
 def test_logs(spark, tmp_path):
