@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, license_scan, line_dedup, media, packing, quality, sentencepiece, simhash, token_counts
+from . import byte_bpe, embedding_dedup, language_id, license_scan, line_dedup, media, packing, quality, sentencepiece, simhash, token_counts
 from .common import held_out
 
 
@@ -66,9 +66,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
+    ids_sha256 = F.sha2(byte_bpe.little_endian("ids"), 256).alias("ids_sha256")
+    return coded.select("doc_id", "n_tokens", ids_sha256, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_packing, op3_simhash, op4_line_dedup, op5_sentencepiece, op6_embedding_dedup, op7_token_counts, op8_language_id, op9_media, op10_quality)
+    for f in (op1_license_scan, op2_packing, op3_simhash, op4_line_dedup, op5_sentencepiece, op6_embedding_dedup, op7_token_counts, op8_language_id, op9_media, op10_quality, op13_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
