@@ -33,15 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders by the columns ``by``, and read it back.
 
     The result has no lineage behind it, is computed once however often it is
     used, and outlives lost executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._shared_path = path
     return back

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, language_id, license_scan, line_dedup, media, packing, quality, sentencepiece, simhash, token_counts
+from . import byte_bpe, conversation_trie, embedding_dedup, language_id, license_scan, line_dedup, media, packing, quality, sentencepiece, simhash, token_counts
 from .common import held_out
 
 
@@ -66,6 +67,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lengths = conversation_trie.regrow(conversation_trie.turns(_table(spark, sf_dir, "conversations")))
+    nodes, ends = conversation_trie.trie(rows, lengths)
+    told = nodes.join(conversation_trie.end_digests(ends), conversation_trie.KEY, "left")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return told.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
     ids_sha256 = F.sha2(byte_bpe.little_endian("ids"), 256).alias("ids_sha256")
@@ -74,7 +83,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_packing, op3_simhash, op4_line_dedup, op5_sentencepiece, op6_embedding_dedup, op7_token_counts, op8_language_id, op9_media, op10_quality, op13_byte_bpe)
+    for f in (op1_license_scan, op2_packing, op3_simhash, op4_line_dedup, op5_sentencepiece, op6_embedding_dedup, op7_token_counts, op8_language_id, op9_media, op10_quality, op11_conversation_trie, op13_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,6 +102,40 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_conversation_trie": r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), sized AS (
+  SELECT c, n, c - c % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                         lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) % 9 AS h
+  FROM (SELECT c, count(*) AS n FROM own GROUP BY c)
+), rebuilt AS (
+  SELECT s.c, o.p, o.role, o.text FROM sized s JOIN own o ON o.c = s.base AND o.p <= s.h
+  UNION ALL
+  SELECT s.c, o.p - s.h + least(s.h, coalesce(b.n, 0)), o.role, o.text
+  FROM sized s JOIN own o ON o.c = s.c AND o.p > s.h LEFT JOIN sized b ON b.c = s.base
+), prefixes AS (
+  SELECT c, p AS d, text, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY p) AS k,
+         p = max(p) OVER (PARTITION BY c) AS last
+  FROM rebuilt
+  UNION ALL
+  SELECT c, 0, '', [], c NOT IN (SELECT c FROM rebuilt) FROM sized
+), nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(strlen(text)) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+  FROM prefixes GROUP BY k, d
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes x WHERE x.d = n.d + 1 AND x.k[:n.d] = n.k) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[:n.d - 1]
+)
+SELECT a.conv_id, a.d AS depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves,
+       sum(b.saved)::BIGINT AS saved_tokens, a.ends_sha256
+FROM linked a JOIN linked b ON b.d >= a.d AND b.k[:a.d] = a.k
+GROUP BY ALL
 """,
     "op6_embedding_dedup": r"""
 WITH RECURSIVE usable AS (
