@@ -42,10 +42,11 @@ from .common import Store, bounded_batches, free_names, quoted, slices
 
 #: Distinct pre-tokens that a worker keeps in each of two generations, the longest it keeps (in characters), and how many of
 #: one text are taken at a time.
-_KEEP, _LONG, _PART = 150_000, 200, 200_000
+_KEEP, _LONG, _PART = 300_000, 200, 200_000
 #: Bytes of pre-tokens that are merged together; wider trees than this are merged one by one.
 _TOGETHER, _WIDE = 1 << 20, 1024
-_NONE = np.iinfo(np.int64).max
+#: No pair: in 32 bits for trees of at most ``_WIDE`` leaves, else in 64.
+_NONE, _BIG = np.iinfo(np.int32).max, np.iinfo(np.int64).max
 
 
 @dataclass
@@ -58,10 +59,14 @@ class Vocabulary:
     codes: np.ndarray = field(init=False)
     merged: np.ndarray = field(init=False)
     singles: np.ndarray = field(init=False)
+    #: Rank of every two bytes; no byte has number 256.
+    bytes_rank: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         ranks = self.ranks
         self.raw = [b""] * (max(ranks.values()) + 1)
+        if (len(self.raw) + 1) * _WIDE > _NONE:
+            raise ValueError(f"{len(self.raw)} ranks are too many for trees of {_WIDE} leaves in 32 bits")
         for token, i in ranks.items():
             self.raw[i] = token
         found = {
@@ -71,14 +76,18 @@ class Vocabulary:
             if token[:k] in ranks and token[k:] in ranks
         }
         self.codes = np.array(sorted(found), np.int64)
-        self.merged = np.array([found[c] for c in self.codes.tolist()], np.int64)
-        self.singles = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.merged = np.array([found[c] for c in self.codes.tolist()], np.int32)
+        self.singles = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.bytes_rank = np.full((257, 257), _NONE, np.int32)
+        for token, i in ranks.items():
+            if len(token) == 2:
+                self.bytes_rank[token[0], token[1]] = i
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of every pair, or ``_NONE``; ids below zero are no token."""
-        code = (left << 32) | right
+        code = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.merged[at], _NONE)
+        return np.where((self.codes[at] == code) & (right >= 0), self.merged[at], _NONE)
 
 
 @lru_cache(maxsize=2)
@@ -120,17 +129,17 @@ def merge(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
 def _merge_trees(v: Vocabulary, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """One segment tree of ``width`` leaves a word; all take their next merge in the same step. Ids one word after the other, and how many each has."""
     n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
-    places = np.arange(width)
+    places = np.arange(width, dtype=np.int32)
     inside = places < sizes[:, None]
+    letters = np.full((n, width + 1), 256, np.int32)
+    letters[:, :width][inside] = np.frombuffer(b"".join(words), np.uint8)
     # symbols by position, -1 where none begins; one more column stands for "no neighbour"
-    ids = np.full((n, width + 1), -1, np.int64)
-    ids[:, :width][inside] = v.singles[np.frombuffer(b"".join(words), np.uint8)]
-    after = np.minimum(np.tile(places + 1, (n, 1)), sizes[:, None])
-    after[after >= sizes[:, None]] = width
-    before = np.full((n, width + 1), width, np.int64)
+    ids = np.append(v.singles, np.int32(-1))[letters]
+    after = np.where(places + 1 < sizes[:, None], places + 1, np.int32(width))
+    before = np.full((n, width + 1), width, np.int32)
     before[:, 1:width] = places[:-1]
-    tree = np.full((n, 2 * width), _NONE, np.int64)
-    tree[:, width:] = _keys(v, ids[:, :width], ids[:, 1:], places, width)
+    tree = np.full((n, 2 * width), _NONE, np.int32)
+    tree[:, width:] = _keys(v.bytes_rank[letters[:, :-1], letters[:, 1:]], places, width)
     for node in range(width - 1, 0, -1):
         np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1], out=tree[:, node])
     live = np.arange(n)
@@ -146,10 +155,10 @@ def _merge_trees(v: Vocabulary, words: list[bytes], width: int) -> tuple[np.ndar
         before[live, right] = at
         ids[live, width] = -1
         _set(tree, live, dead, _NONE, width)
-        _set(tree, live, at, _keys(v, rank, ids[live, right], at, width), width)
+        _set(tree, live, at, _keys(v.pair_ranks(rank, ids[live, right]), at, width), width)
         near = left < width
         rows, to = live[near], left[near]
-        _set(tree, rows, to, _keys(v, ids[rows, to], rank[near], to, width), width)
+        _set(tree, rows, to, _keys(v.pair_ranks(ids[rows, to], rank[near]), to, width), width)
     begun = ids[:, :width] >= 0
     return ids[:, :width][begun].astype(np.int32), begun.sum(1)
 
@@ -160,8 +169,9 @@ def _merge_tree(v: Vocabulary, word: bytes) -> bytes:
     width = 1 << (n - 1).bit_length()
     ids, after, before = v.singles[np.frombuffer(word, np.uint8)].tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
     ids.append(-1)
-    tree = np.full(2 * width, _NONE, np.int64)
-    tree[width : width + n - 1] = _keys(v, np.array(ids[: n - 1]), np.array(ids[1:n]), np.arange(n - 1), width)
+    tree = np.full(2 * width, _BIG, np.int64)
+    ranks_here = v.bytes_rank[np.frombuffer(word[:-1], np.uint8), np.frombuffer(word[1:], np.uint8)].astype(np.int64)
+    tree[width : width + n - 1] = np.where(ranks_here == _NONE, _BIG, ranks_here * width + np.arange(n - 1))
     for level in (1 << k for k in range(width.bit_length() - 2, -1, -1)):
         tree[level : 2 * level] = tree[2 * level : 4 * level].reshape(-1, 2).min(1)
     tree = tree.tolist()
@@ -179,25 +189,24 @@ def _merge_tree(v: Vocabulary, word: bytes) -> bytes:
     def pair(at: int) -> int:
         to = after[at]
         rank = ranks.get(raw[ids[at]] + raw[ids[to]]) if to < n else None
-        return _NONE if rank is None else rank * width + at
+        return _BIG if rank is None else rank * width + at
 
-    while tree[1] != _NONE:
+    while tree[1] != _BIG:
         rank, at = divmod(tree[1], width)
         dead = after[at]
         ids[at], ids[dead], after[at] = rank, -1, after[dead]
         if after[at] < n:
             before[after[at]] = at
-        put(dead, _NONE)
+        put(dead, _BIG)
         put(at, pair(at))
         if before[at] >= 0:
             put(before[at], pair(before[at]))
     return np.array([i for i in ids if i >= 0], np.int32).tobytes()
 
 
-def _keys(v: Vocabulary, left: np.ndarray, right: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+def _keys(ranks: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Rank and position in one number, so that the least is the leftmost pair of least rank."""
-    ranks = v.pair_ranks(left, right)
-    return np.where(ranks == _NONE, _NONE, np.minimum(ranks, _NONE // width - 1) * width + at)
+    return np.where(ranks == _NONE, _NONE, ranks * np.int32(width) + at)
 
 
 def _set(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, keys, width: int) -> None:
