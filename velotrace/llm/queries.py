@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_trie, embedding_dedup, language_id, license_scan, line_dedup, media, packing, quality, sentencepiece, simhash, token_counts
+from . import byte_bpe, conversation_trie, embedding_dedup, language_id, lexical_search, license_scan, line_dedup, media, packing, quality, sentencepiece, simhash, token_counts
 from .common import held_out
 
 
@@ -75,6 +75,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
     ids_sha256 = F.sha2(byte_bpe.little_endian("ids"), 256).alias("ids_sha256")
@@ -83,7 +87,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_packing, op3_simhash, op4_line_dedup, op5_sentencepiece, op6_embedding_dedup, op7_token_counts, op8_language_id, op9_media, op10_quality, op11_conversation_trie, op13_byte_bpe)
+    for f in (op1_license_scan, op2_packing, op3_simhash, op4_line_dedup, op5_sentencepiece, op6_embedding_dedup, op7_token_counts, op8_language_id, op9_media, op10_quality, op11_conversation_trie, op12_lexical_search, op13_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -136,6 +140,28 @@ SELECT a.conv_id, a.d AS depth, a.parent_conv_id, a.n_convs, a.n_children, count
        sum(b.saved)::BIGINT AS saved_tokens, a.ends_sha256
 FROM linked a JOIN linked b ON b.d >= a.d AND b.k[:a.d] = a.k
 GROUP BY ALL
+""",
+    "op12_lexical_search": r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sized AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_all FROM split),
+asked AS (
+  SELECT item_id, term, count(*) AS qtf
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), held AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM split)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, sized GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM held JOIN weighed USING (term) JOIN asked USING (term), sized GROUP BY ALL
+), ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
 """,
     "op6_embedding_dedup": r"""
 WITH RECURSIVE usable AS (
