@@ -153,7 +153,7 @@ def _stored(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str, text_c
 def build(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The tiered index of the terms given, over all documents."""
     stored = _stored(docs, terms, n_terms, id_col, text_col)
-    size = stored.agg(F.count_if("n > 0").alias("n"), F.sum("n").alias("l")).first()
+    size = stored.agg(F.count_if(F.col("n") > 0).alias("n"), F.sum("n").alias("l")).first()
     n_docs, n_all = size["n"], size["l"] or 1
     factor = f"(1000000000 * tf) div (1000 * tf + 12 * (75 + (25 * n * {n_docs}) div {n_all}))"
     hits = _exploded(stored).select("row", "tid", F.expr(factor).alias("factor"))
