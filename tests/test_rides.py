@@ -130,7 +130,6 @@ def test_kernels():
     rest, work = dict(type="flat", effort_basis="power", duration_s=60, avg_power=100, avg_hr=None), dict(type="flat", effort_basis="power", duration_s=60, avg_power=300, avg_hr=None)
     assert kernels.group_similar([work, rest] * 3 + [work]) == [(0, 2, 3), (6, 1, 1)]
     assert kernels.group_similar([work] * 4 + [rest]) == [(0, 1, 4), (4, 1, 1)]
-    assert kernels.trusted_window_ids(np.arange(5.0) * 100, np.array([False, True, True, True, True]), 180).tolist() == [-1, 0, 0, 1, 1]
 
 
 def test_segments_of_a_ride(spark):

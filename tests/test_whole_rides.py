@@ -65,7 +65,7 @@ def test_trusted_speed_rejects_jumps_and_wrong_wheels(spark, monkeypatch):
     step = 10 / 1000 / (6371 * math.pi / 180)
     good = lambda a, **c: ride(spark, 90, a, **({"lat": lambda i: 52 + i * step, "lon": lambda i: 21, "distance": lambda i: i * 0.0102, "speed": lambda i: 36} | c))
     rows = good(1).unionByName(good(2, lat=lambda i: 52 + i * step + i % 2 * 0.0005)).unionByName(good(3, speed=lambda i: 47))
-    monkeypatch.setattr(A, "records", lambda *_: rows)
+    monkeypatch.setattr(A, "steady_records", lambda *_: rows)
     got = jobs.QUERIES["w17_w18_a13_trusted_speed"](spark, "").collect()
     assert [r["activity_id"] for r in got] == [1] and got[0]["n_high"] > 40
 

@@ -27,7 +27,7 @@ def j1_j2_profile_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.join(ingest, "activity_id")
 
 
-@query(f"""{A.with_ctes('activities', 'athletes')} SELECT a.activity_id, coalesce(a.rider_mass_kg, t.rider_mass_kg) AS rider_mass_kg, t.bike_mass_kg FROM activities a LEFT JOIN athletes t USING (athlete_id)""")
+@query(f"""{A.with_ctes('activities', 'athletes')} SELECT a.activity_id, coalesce(a.rider_mass_kg, t.rider_mass_kg) AS rider_mass_kg, coalesce(a.bike_mass_kg, t.bike_mass_kg) AS bike_mass_kg FROM activities a LEFT JOIN athletes t USING (athlete_id)""")
 def j3_effective_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.effective_mass(A.activities(spark, sf_dir), A.athletes(spark, sf_dir))
 
@@ -114,14 +114,17 @@ def s1_s3_t6_index_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ACT} SELECT activity_id, file_path, total_distance_km + CASE WHEN activity_id % 2 = 0 THEN 1 ELSE 0 END AS total_distance_km,
-  CASE WHEN activity_id % 4 = 0 AND rider_mass_kg IS NULL THEN 80 ELSE rider_mass_kg END AS rider_mass_kg, manual_avg_hr FROM activities""")
+  CASE WHEN activity_id % 4 = 0 AND rider_mass_kg IS NULL THEN 80 ELSE rider_mass_kg END AS rider_mass_kg, CASE WHEN activity_id % 4 = 0 AND bike_mass_kg IS NULL THEN 9 ELSE bike_mass_kg END AS bike_mass_kg,
+  manual_avg_hr, manual_max_hr, sport FROM activities""")
 def s4_upsert_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second ride is imported again, twice; the later import counts."""
-    cols = ["activity_id", "file_path", "total_distance_km", "rider_mass_kg", "manual_avg_hr", "imported_s"]
-    old = A.activities(spark, sf_dir).select(*cols)
-    again = old.where("activity_id % 2 = 0").withColumn("manual_avg_hr", F.lit(1.0)).withColumn("rider_mass_kg", F.when(F.col("activity_id") % 4 == 0, 80.0))
-    late = again.withColumn("total_distance_km", F.col("total_distance_km") + 1).withColumn("imported_s", F.col("imported_s") + 10)
-    return maintain.upsert_activities(old, again.unionByName(late)).drop("imported_s")
+    """Every second ride is imported again, twice; the later import counts, one without a time before all others, and a column it lacks stays."""
+    cols = ["activity_id", "file_path", "total_distance_km", "rider_mass_kg", "bike_mass_kg", "manual_avg_hr", "manual_max_hr", "imported_s"]
+    old = A.activities(spark, sf_dir).select(*cols, "sport")
+    masses = {c: F.when(F.col("activity_id") % 4 == 0, kg) for c, kg in (("rider_mass_kg", 80.0), ("bike_mass_kg", 9.0))}
+    again = old.select(*cols).where("activity_id % 2 = 0").withColumns({"manual_avg_hr": F.lit(1.0), "manual_max_hr": F.lit(2.0)} | masses)
+    late = again.withColumn("total_distance_km", F.col("total_distance_km") + 1)
+    early = again.withColumn("imported_s", F.when(F.col("activity_id") % 3 > 0, F.col("imported_s") - 10))
+    return maintain.upsert_activities(old, early.unionByName(late)).drop("imported_s")
 
 
 @query(f"{A.with_ctes('records')} SELECT activity_id, record_index, CASE WHEN activity_id % 5 = 0 THEN 0 ELSE power END AS power FROM records WHERE activity_id % 5 <> 0 OR record_index < 10")
@@ -163,15 +166,16 @@ def s9_upsert_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.upsert(old, new, ["activity_id"], keep=("created",))
 
 
-@query(f"""{A.with_ctes('activities', 'analyses')} SELECT a.activity_id, CASE WHEN a.activity_id % 10 = 0 THEN 133 ELSE a.manual_avg_hr END AS manual_avg_hr, CASE WHEN a.activity_id % 8 = 0 THEN NULL ELSE a.rider_mass_kg END AS rider_mass_kg,
+@query(f"""{A.with_ctes('activities', 'analyses')} SELECT a.activity_id, CASE WHEN a.activity_id % 10 = 0 THEN 133 ELSE a.manual_avg_hr END AS manual_avg_hr, CASE WHEN a.activity_id % 20 = 0 THEN NULL WHEN a.activity_id % 10 = 0 THEN 191 ELSE a.manual_max_hr END AS manual_max_hr,
+  CASE WHEN a.activity_id % 8 = 0 THEN NULL ELSE a.rider_mass_kg END AS rider_mass_kg, CASE WHEN a.activity_id % 8 = 0 THEN 12 ELSE a.bike_mass_kg END AS bike_mass_kg,
   n.activity_id IS NOT NULL AND a.activity_id % 10 <> 0 AS analysed FROM activities a LEFT JOIN analyses n USING (activity_id)""")
 def s10_s11_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     activities = A.activities(spark, sf_dir)
-    edits = activities.where("activity_id % 10 = 0").select("activity_id", F.lit(133.0).alias("manual_avg_hr"))
+    edits = activities.where("activity_id % 10 = 0").select("activity_id", F.lit(133.0).alias("manual_avg_hr"), F.when(F.col("activity_id") % 20 != 0, 191.0).alias("manual_max_hr"))
     rows, kept = maintain.override_activity_hr(activities, A.analyses(spark, sf_dir), edits)
-    rows = maintain.set_activity_mass(rows, activities.where("activity_id % 8 = 0").select("activity_id", F.lit(None).cast("double").alias("rider_mass_kg")))
+    rows = maintain.set_activity_mass(rows, activities.where("activity_id % 8 = 0").select("activity_id", F.lit(None).cast("double").alias("rider_mass_kg"), F.lit(12.0).alias("bike_mass_kg")))
     marks = kept.select("activity_id", F.lit(True).alias("analysed"))
-    return rows.join(marks, "activity_id", "left").select("activity_id", "manual_avg_hr", "rider_mass_kg", F.coalesce("analysed", F.lit(False)).alias("analysed"))
+    return rows.join(marks, "activity_id", "left").select("activity_id", "manual_avg_hr", "manual_max_hr", "rider_mass_kg", "bike_mass_kg", F.coalesce("analysed", F.lit(False)).alias("analysed"))
 
 
 @query(f"{ACT} SELECT activity_id, sport, 0 AS training_load, CAST(NULL AS VARCHAR) AS device FROM activities")
@@ -184,8 +188,7 @@ def s12_add_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s13_s14_log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved and failed counts of the log rows within ten days of the last one."""
     logs = A.table(spark, sf_dir, "events").select("ts", F.when(F.col("event_type") == "error", "failed").otherwise("saved").alias("status"))
-    last = logs.agg(F.max("ts").alias("last")).first()["last"]
-    return maintain.index_report(maintain.prune_logs(logs, 10, F.lit(last)))
+    return maintain.index_report(maintain.prune_logs(logs, 10, logs.agg(F.max("ts")).scalar()))
 
 
 @query(f"""{ACT} SELECT activity_id, coalesce(manual_avg_hr, avg_hr) AS hr, coalesce(CASE WHEN avg_speed_kmh > 0 THEN avg_speed_kmh END, CASE WHEN max_speed_kmh > 0 THEN max_speed_kmh END) AS speed_kmh,

@@ -353,15 +353,62 @@ def w13_macro_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.macro_segments(A.records(spark, sf_dir), min_seconds=20.0, least=2.0)
 
 
-@query()
+_CHAIN = """{n}_next AS (SELECT a.*, (SELECT min(struct_pack(t := b.elapsed_ms, j := b.record_index)) FROM {n} b WHERE {same} AND b.elapsed_ms >= a.elapsed_ms + {pause}).j AS j FROM {n} a
+), {n}_links AS (SELECT {keys}, min(struct_pack(t := elapsed_ms, i := record_index)).i AS i FROM {n} GROUP BY {keys}
+  UNION ALL SELECT {l_keys}, x.j FROM {n}_links l JOIN {n}_next x ON {l_same} AND x.record_index = l.i AND x.j IS NOT NULL)"""
+
+
+def _chain(n: str, pause: int, *keys: str) -> str:
+    """The begins ``i`` of a greedy chain over table ``n`` (of ``keys, record_index, elapsed_ms``), link by link, as table ``{n}_links``."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    return _CHAIN.format(n=n, pause=pause, keys=", ".join(keys), l_keys=", ".join(f"l.{k}" for k in keys), same=same("a", "b"), l_same=same("l", "x"))
+
+
+_HOP = _haversine("la", "lo", "position_lat", "position_long")
+TRUSTED = f"""{A.with_ctes('records', 'steady')}, fixed AS (SELECT *, {FIX} AS fix, CASE WHEN {FIX} THEN struct_pack(t := elapsed_s, la := position_lat, lo := position_long) END AS f FROM steady
+), prev AS (SELECT *, last_value(f IGNORE NULLS) OVER ({W_} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM fixed
+), raw AS (SELECT *, CASE WHEN elapsed_s - p.t > 0 AND elapsed_s - p.t <= 30 AND f IS NOT NULL THEN {_haversine('p.la', 'p.lo', 'f.la', 'f.lo')} / (elapsed_s - p.t) * 3600 END AS r FROM prev
+), gps AS (SELECT *, coalesce(avg(r) OVER ({W_} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), r) AS gps_kmh FROM raw
+), fixes AS (SELECT activity_id, record_index, elapsed_ms FROM gps WHERE fix), {_chain("fixes", 20001, "activity_id")}
+, placed AS (SELECT g.*, last_value(l.i IGNORE NULLS) OVER (PARTITION BY g.activity_id ORDER BY record_index ROWS UNBOUNDED PRECEDING) AS win FROM gps g LEFT JOIN fixes_links l ON l.activity_id = g.activity_id AND l.i = g.record_index
+), steps AS (SELECT *, lag(position_lat) OVER o AS la, lag(position_long) OVER o AS lo, lag(gps_kmh) OVER o AS gv, elapsed_s - lag(elapsed_s) OVER o AS dt FROM placed WHERE win IS NOT NULL
+  WINDOW o AS (PARTITION BY activity_id, win, fix ORDER BY record_index)
+), judged AS (
+  SELECT activity_id, win, max(record_index) AS last, count(*) AS n, count(*) FILTER (WHERE fix) AS f, sum({_HOP}) FILTER (WHERE fix) AS path,
+    coalesce(bool_or(fix AND dt > 0 AND abs(gps_kmh - gv) / 3.6 > 4 * dt), false) AS jerk, count(gps_kmh - speed_kmh) FILTER (WHERE fix) AS d,
+    median(abs(gps_kmh - speed_kmh) / greatest(speed_kmh, 1)) FILTER (WHERE fix) AS m, arg_max(distance_km, record_index) - arg_min(distance_km, record_index) AS wheel,
+    arg_min(position_lat, record_index) FILTER (WHERE fix) AS la, arg_min(position_long, record_index) FILTER (WHERE fix) AS lo,
+    arg_max(position_lat, record_index) FILTER (WHERE fix) AS position_lat, arg_max(position_long, record_index) FILTER (WHERE fix) AS position_long
+  FROM steps GROUP BY activity_id, win
+), trusted AS (SELECT activity_id, win AS start_index, last AS end_index, path, wheel FROM judged
+  WHERE f >= 3 AND f >= n * 0.9 AND NOT jerk AND path >= 0.05 AND {_HOP} / path >= 0.9 AND d >= f * 0.9 AND m * 100 <= 5)"""
+
+
+@query(f"""{TRUSTED}, marked AS (SELECT s.activity_id, count(*) AS n_high FROM steady s JOIN trusted t ON t.activity_id = s.activity_id AND s.record_index BETWEEN t.start_index AND t.end_index GROUP BY ALL)
+SELECT activity_id, round(sum(wheel) / sum(path), 6) AS ratio, round(sum(path), 6) AS trusted_km, any_value(n_high) AS n_high FROM trusted JOIN marked USING (activity_id) WHERE wheel > 0 AND path > 0 GROUP BY activity_id""")
 def w17_w18_a13_trusted_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted windows (of 20 s here, under the operator's own rules of acceptance) and the wheel ratio they give."""
-    records = A.records(spark, sf_dir)
-    windows = segments.trusted_speed_windows(records, seconds=20.0, min_km=0.05)
+    records = A.steady_records(spark, sf_dir)
+    windows = materialize(segments.trusted_speed_windows(records, seconds=20.0, min_km=0.05), "trusted")
     shares = segments.speed_confidence(records, windows).groupBy("activity_id").agg(F.count_if(F.col("confidence") == "high").alias("n_high"))
     return rounded(segments.wheel_ratio(windows).join(shares, "activity_id"), "ratio", "trusted_km")
 
 
+@query(f"""{TERRAIN}, parts AS (SELECT activity_id, min(record_index) AS start_index, max(record_index) AS end_index FROM truns GROUP BY activity_id, run
+), inside AS (SELECT r.activity_id, p.start_index AS segment_start, r.record_index, r.elapsed_ms, r.elapsed_s, CASE WHEN p.start_index % 2 = 0 THEN r.heart_rate ELSE r.power END AS effort
+  FROM records r JOIN parts p ON p.activity_id = r.activity_id AND r.record_index BETWEEN p.start_index AND p.end_index), {_chain("inside", 3000, "activity_id", "segment_start")}
+, placed AS (SELECT x.*, last_value(l.i IGNORE NULLS) OVER (PARTITION BY x.activity_id, x.segment_start ORDER BY x.record_index ROWS UNBOUNDED PRECEDING) AS win
+  FROM inside x LEFT JOIN inside_links l ON l.activity_id = x.activity_id AND l.segment_start = x.segment_start AND l.i = x.record_index)
+SELECT activity_id, segment_start, min(record_index) AS start_index, max(record_index) AS end_index, arg_min(elapsed_s, record_index) AS start_s, arg_max(elapsed_s, record_index) AS end_s, round(avg(effort), 6) AS effort
+FROM placed GROUP BY activity_id, segment_start, win""")
+def w14_effort_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 3 s within the terrain runs, of heart rate where a run begins at an even index, else of power."""
+    records = A.records(spark, sf_dir)
+    marked = series.mark_intervals(series.grade_series_pct(series.compute_grade(records)), series.detect_stops(records, least=2.0))
+    runs = series.terrain_runs(series.terrain_state(marked)).withColumn("effort_basis", F.when(F.col("start_index") % 2 == 0, "hr").otherwise("power"))
+    return rounded(segments.effort_windows(records, runs, seconds=3.0), "effort")
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = segments.build_segments(A.records(spark, sf_dir), _context(spark, sf_dir), min_seconds=20.0, drift_s=40.0, least=2.0)
     return materialize(built, "segments")

@@ -226,7 +226,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for a, b in slices(texts, 1_000_000):
+        for a, b in slices(texts, 4_000_000):
             words = [self.cut.findall(t) if len(t) <= _PART else None for t in texts[a:b]]
             known = self._known({w for own in words if own for w in own})
             for text, own in zip(texts[a:b], words, strict=True):
@@ -289,7 +289,7 @@ def little_endian(rows: pd.Series) -> pd.Series:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids, n_tokens`` of every row."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 8 << 20)
     ids = encoder(shipped(docs.sparkSession, path, pattern))
     coded = docs.select(quoted(id_col).alias("id"), ids(quoted(text_col)).alias("ids"))
     return coded.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_tokens"))

@@ -35,14 +35,16 @@ def index_new(files: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def newest(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """One row per key: the one of the largest ``by``."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("r")).select("r.*")
+    """One row per key: the one of the largest ``by``; a NULL ``by`` comes before all others."""
+    known = F.struct(F.col(by).isNotNull().alias("known"), F.col(by).alias("by"))
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), known).alias("r")).select("r.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = (), patch: bool = False) -> DataFrame:
     """Merge by key. New rows win, but ``keep`` columns stay as stored and ``fill`` columns only fill gaps.
 
-    With ``patch`` a NULL in a new row leaves the stored value.
+    With ``patch`` a NULL in a new row leaves the stored value. A column that
+    ``new`` lacks stays as stored and is NULL in rows that come.
     """
     o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
@@ -50,7 +52,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     given, out = F.coalesce("_new", F.lit(False)), []
     for c in old.columns:
         a, b = F.col(f"o.{c}"), F.col(f"n.{c}") if c in new.columns else F.lit(None)
-        if c in keys or c in fill:
+        if c in keys or c in fill or c not in new.columns:
             out.append(F.coalesce(a, b).alias(c))
         elif c in keep:
             out.append(F.when(F.col("_old"), a).otherwise(b).alias(c))
@@ -63,7 +65,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
 
 def upsert_activities(old: DataFrame, new: DataFrame) -> DataFrame:
     """By file path, the newest import of a batch first; stored masses and manual rates stay."""
-    return upsert(old, newest(new, "file_path", "imported_s"), ["file_path"], keep=("manual_avg_hr", "activity_id"), fill=("rider_mass_kg",))
+    return upsert(old, newest(new, "file_path", "imported_s"), ["file_path"], keep=("manual_avg_hr", "manual_max_hr", "activity_id"), fill=("rider_mass_kg", "bike_mass_kg"))
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: str = "activity_id") -> DataFrame:
@@ -83,18 +85,22 @@ def latest_patch(patches: DataFrame, key: str, by: str) -> DataFrame:
     return patches.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(by))).alias(c) for c in fields])
 
 
+def _edited(activities: DataFrame, edits: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The given columns of edited activities replaced, also by NULL; a column that ``edits`` lacks stays."""
+    own = [c for c in columns if c in edits.columns]
+    e = edits.select("activity_id", *[F.col(c).alias(f"_{c}") for c in own], F.lit(True).alias("_edit"))
+    joined = activities.join(e, "activity_id", "left")
+    return joined.withColumns({c: F.when(F.col("_edit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in own}).select(*activities.columns)
+
+
 def override_activity_hr(activities: DataFrame, analyses: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manual rates set; the analyses of the edited activities go."""
-    e = edits.select("activity_id", F.col("manual_avg_hr").alias("_hr"), F.lit(True).alias("_edit"))
-    joined = activities.join(e, "activity_id", "left").withColumn("manual_avg_hr", F.when(F.col("_edit"), F.col("_hr")).otherwise(F.col("manual_avg_hr")))
-    return joined.select(*activities.columns), analyses.join(edits.select("activity_id"), "activity_id", "left_anti")
+    """Manual mean and highest rates set; the analyses of the edited activities go."""
+    return _edited(activities, edits, ("manual_avg_hr", "manual_max_hr")), analyses.join(edits.select("activity_id"), "activity_id", "left_anti")
 
 
 def set_activity_mass(activities: DataFrame, edits: DataFrame) -> DataFrame:
-    """Masses of the edited activities, NULL allowed."""
-    e = edits.select("activity_id", F.col("rider_mass_kg").alias("_kg"), F.lit(True).alias("_edit"))
-    joined = activities.join(e, "activity_id", "left").withColumn("rider_mass_kg", F.when(F.col("_edit"), F.col("_kg")).otherwise(F.col("rider_mass_kg")))
-    return joined.select(*activities.columns)
+    """Rider's and bike's masses of the edited activities, NULL allowed."""
+    return _edited(activities, edits, ("rider_mass_kg", "bike_mass_kg"))
 
 
 def add_missing_columns(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:

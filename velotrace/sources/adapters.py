@@ -34,6 +34,16 @@ FROM (
 #: The DuckDB forms. A literal such as 0.03D is Spark's double.
 RECORDS_SQL = re.sub(r"(\d)D\b", r"\1::DOUBLE", _records_select("epoch_us(ts)", "//", "CAST(json_extract_string(props, '$.k') AS INTEGER)"))
 
+#: Rides at a steady speed, whose fixes, distances and speeds agree but for every fourth ride's wheel.
+_STEADY = """
+SELECT activity_id, record_index, elapsed_ms, elapsed_s, v * elapsed_s / 3600 * (1 + activity_id % 5 * 0.01{d}) AS distance_km,
+  v * (1 + (k % 3 - 1) * 0.01{d}) * CASE WHEN activity_id % 4 = 3 THEN 1.3{d} ELSE 1.0{d} END AS speed_kmh, heart_rate, altitude_m,
+  CASE WHEN k % 23 = 0 THEN 0.0{d} ELSE 52.0{d} + v * elapsed_s / 3600 / 111.0{d} END AS position_lat, CASE WHEN k % 23 = 0 THEN 0.0{d} ELSE 21.0{d} END AS position_long,
+  cadence, power, temperature
+FROM (SELECT *, 25.0{d} + activity_id % 10 AS v, CAST(cadence AS INT) AS k FROM records) t
+"""
+STEADY_SQL = _STEADY.format(d="::DOUBLE")
+
 _ACTIVITIES = """
 SELECT activity_id, athlete_id, {ts} AS start_ts, secs AS start_s, 'rides/' || CAST(activity_id AS {text}) || '.fit' AS file_path,
   CASE activity_id % 3 WHEN 0 THEN 'cycling' WHEN 1 THEN 'road_biking' ELSE 'running' END AS sport,
@@ -41,7 +51,8 @@ SELECT activity_id, athlete_id, {ts} AS start_ts, secs AS start_s, 'rides/' || C
   CASE WHEN activity_id % 7 = 0 THEN 0 ELSE 20 + activity_id % 15 END * one AS avg_speed_kmh, (40 + activity_id % 25) * one AS max_speed_kmh,
   (110 + activity_id % 50) * one AS avg_hr, CASE WHEN activity_id % 11 = 0 THEN 125 * one END AS manual_avg_hr,
   (150 + activity_id % 40) * one AS max_hr, activity_id % 900 * one AS total_ascent_m,
-  CASE WHEN activity_id % 13 = 0 THEN 70 * one END AS rider_mass_kg, activity_id % 3 * 1000 + activity_id AS imported_s
+  CASE WHEN activity_id % 17 = 0 THEN 185 * one END AS manual_max_hr, CASE WHEN activity_id % 13 = 0 THEN 70 * one END AS rider_mass_kg,
+  CASE WHEN activity_id % 19 = 0 THEN 11 * one END AS bike_mass_kg, activity_id % 3 * 1000 + activity_id AS imported_s
 FROM (
   SELECT o_orderkey AS activity_id, o_custkey AS athlete_id, o_totalprice / 10000 AS total_distance_km, CAST(1 AS DOUBLE) AS one,
     CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE 1577836800 + {days} * 4320 END AS secs
@@ -79,6 +90,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
+def steady_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_STEADY.format(d="D").replace("FROM records", "FROM {r}"), r=records(spark, sf_dir))
+
+
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _ACTIVITIES.format(ts="timestamp_seconds(secs)", text="STRING", days="datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01')")
     return spark.sql(text.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
@@ -104,7 +119,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Derived tables as CTEs, for SQL that needs them.
-CTES = {"records": RECORDS_SQL, "activities": ACTIVITIES_SQL, "profiles": PROFILES_SQL, "athletes": ATHLETES_SQL, "analyses": ANALYSES_SQL}
+CTES = {"records": RECORDS_SQL, "steady": STEADY_SQL, "activities": ACTIVITIES_SQL, "profiles": PROFILES_SQL, "athletes": ATHLETES_SQL, "analyses": ANALYSES_SQL}
 
 
 def with_ctes(*names: str) -> str:
