@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..functions.shared import materialize
+from ..functions.shared import bucketed, materialize
 from ..operators import heart, history, maintain, segments, suggestion, summary
 from ..sources import adapters as A
 from . import series_queries as Q
@@ -258,7 +258,7 @@ def h12_a18_hr_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Riders of ids divisible by 3 are taken as having no power meter.
 METERLESS = "athlete_id % 3 = 0"
-CURVE = Q.GRADED.replace(f"{Q.R}", f"""{A.with_ctes('activities', 'athletes')}, own AS (SELECT a.activity_id, a.athlete_id, coalesce(a.rider_mass_kg, t.rider_mass_kg) + t.bike_mass_kg AS kg FROM activities a JOIN athletes t USING (athlete_id)
+CURVE = Q.GRADED.replace(f"{Q.R}", f"""{A.with_ctes('activities', 'athletes')}, own AS (SELECT a.activity_id, a.athlete_id, coalesce(a.rider_mass_kg, t.rider_mass_kg) + coalesce(a.bike_mass_kg, t.bike_mass_kg) AS kg FROM activities a JOIN athletes t USING (athlete_id)
 ), samples AS (SELECT r.* REPLACE (CASE WHEN NOT coalesce({METERLESS}, false) THEN r.power END AS power), o.kg, o.athlete_id FROM ({A.RECORDS_SQL}) r LEFT JOIN own o USING (activity_id)
 ), cover AS (SELECT athlete_id, count(DISTINCT o.activity_id) AS n_activities, count(s.activity_id) AS n_records, count(*) FILTER (WHERE power >= 0) AS n_power, count(*) FILTER (WHERE power >= 0 AND elapsed_s IS NOT NULL) AS n_timed, max(heart_rate) AS record_max
   FROM own o LEFT JOIN (SELECT * EXCLUDE (athlete_id) FROM samples) s USING (activity_id) GROUP BY athlete_id
@@ -428,7 +428,7 @@ def t7_context_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t7_ride_context_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents with the rider's profile, the time in zones and the segments of rides that have records."""
     parts, progress = _blocks(spark, sf_dir)
-    activities, records = A.activities(spark, sf_dir), A.records(spark, sf_dir)
+    activities, records = A.activities(spark, sf_dir), bucketed(A.records(spark, sf_dir), "ride_records", "activity_id", placed=True)
     riders = activities.select("activity_id", "athlete_id", "sport", F.col("rider_mass_kg").alias("_own")).join(A.athletes(spark, sf_dir), "athlete_id").withColumn("rider_mass_kg", F.coalesce("_own", "rider_mass_kg"))
     found = heart.hr_profile_as_of(activities, A.hr_profiles(spark, sf_dir)).select("activity_id", "profile.*")
     own = F.array_compact(F.array(*[F.col(f"zone{i}").cast("double") for i in range(2, 6)]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
-from ..functions.shared import materialize
+from ..functions.shared import bucketed, materialize
 from ..operators import clean, heart, power, segments, series, summary
 from ..sources import adapters as A
 from .registry import query, rounded
@@ -410,7 +410,8 @@ def w14_effort_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = segments.build_segments(A.records(spark, sf_dir), _context(spark, sf_dir), min_seconds=20.0, drift_s=40.0, least=2.0)
+    records = bucketed(A.records(spark, sf_dir), "ride_records", "activity_id", placed=True)
+    built = segments.build_segments(records, _context(spark, sf_dir), min_seconds=20.0, drift_s=40.0, least=2.0)
     return materialize(built, "segments")
 
 

@@ -81,7 +81,8 @@ def valid_power(c="power") -> Column:
     return F.coalesce(col(c) >= 0, F.lit(False))
 
 
-def stride_filter(records: DataFrame, n: int) -> DataFrame:
+def stride_filter(records: DataFrame, n: int | Column) -> DataFrame:
+    """Every n-th record by its index."""
     return records.where(F.col(ORDER) % n == 0)
 
 

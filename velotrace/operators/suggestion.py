@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.shared import bucketed, materialize
 from . import heart, power, series
-from .clean import ACTIVITY, stride_filter, valid_power
+from .clean import ACTIVITY, ORDER, stride_filter, valid_power
+from .maintain import add_missing_columns
 
 
 def athlete_suggestion(records: DataFrame, activities: DataFrame, athletes: DataFrame, durations: tuple[int, ...] = power.DURATIONS, stride: int = 5) -> DataFrame:
@@ -15,24 +17,30 @@ def athlete_suggestion(records: DataFrame, activities: DataFrame, athletes: Data
 
     An athlete with any timed power is measured; for the others power is
     estimated from every ``stride``-th record, with the masses of the ride
-    before those of the athlete. Records stay grouped by activity; only a row
-    per activity and duration is regrouped by athlete. Without any power the
-    curve is 0 and the source ``unavailable``.
+    before those of the athlete. Records are dealt out by activity once and
+    read where they lie; only a row per activity, or per activity and duration,
+    is regrouped by athlete. Without any power the curve is 0 and the source
+    ``unavailable``.
     """
-    owners = activities.select(ACTIVITY, "athlete_id", F.col("rider_mass_kg").alias("_own")).join(athletes.select("athlete_id", "rider_mass_kg", "bike_mass_kg"), "athlete_id")
-    owners = owners.select(ACTIVITY, "athlete_id", F.coalesce("_own", "rider_mass_kg").alias("rider"), F.col("bike_mass_kg").alias("bike"))
+    fields = [ACTIVITY, ORDER, "elapsed_ms", "elapsed_s", "distance_km", "speed_kmh", "heart_rate", "altitude_m", "position_lat", "position_long", "power"]
+    records = bucketed(records.select(*fields), "suggestion_records", ACTIVITY)
+    masses = athletes.select("athlete_id", F.col("rider_mass_kg").alias("_rider"), F.col("bike_mass_kg").alias("_bike"))
+    owners = add_missing_columns(activities, {"bike_mass_kg": ("double", None)}).select(ACTIVITY, "athlete_id", "rider_mass_kg", "bike_mass_kg").join(masses, "athlete_id")
+    owners = owners.select(ACTIVITY, "athlete_id", F.coalesce("rider_mass_kg", "_rider").alias("rider"), F.coalesce("bike_mass_kg", "_bike").alias("bike"))
     counts = records.groupBy(ACTIVITY).agg(
         F.count("*").alias("n_records"), F.count_if(valid_power()).alias("n_power"), F.count_if(valid_power() & F.col("elapsed_s").isNotNull()).alias("n_timed"), F.max("heart_rate").alias("record_max")
     )
-    coverage = owners.join(counts, ACTIVITY, "left").groupBy("athlete_id").agg(
+    covered = materialize(owners.join(counts, ACTIVITY, "left"), "suggestion-covered")
+    coverage = covered.groupBy("athlete_id").agg(
         F.count("*").alias("n_activities"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_records", "n_power", "n_timed")], F.max("record_max").alias("record_max")
     )
-    flags = owners.join(coverage.select("athlete_id", (F.col("n_timed") > 0).alias("measured")), "athlete_id")
-    owned = records.join(flags.drop("athlete_id"), ACTIVITY)
-    fields = [*records.columns]
-    guessed = series.compute_grade(stride_filter(owned.where("NOT measured"), stride)).withColumn("power", series.estimate_power("rider", "bike"))
-    rows = owned.where("measured").select(*fields).unionByName(guessed.where("power IS NOT NULL").select(*fields))
-    best = power.historical_mmp(power.mmp_curve(rows, durations).join(owners.select(ACTIVITY, "athlete_id"), ACTIVITY), "athlete_id")
+    coverage = materialize(coverage, "suggestion-coverage")
+    flags = covered.where("n_records > 0").select(ACTIVITY, "athlete_id", "rider", "bike").join(coverage.select("athlete_id", (F.col("n_timed") > 0).alias("measured")), "athlete_id")
+    owned = stride_filter(records.join(flags, ACTIVITY), F.when(F.col("measured"), 1).otherwise(stride))
+    watts = F.when(F.col("measured"), F.col("power")).otherwise(series.estimate_power("rider", "bike"))
+    rows = series.compute_grade(owned).withColumn("power", watts).where("power IS NOT NULL")
+    owner = flags.select(ACTIVITY, F.col("athlete_id"))
+    best = materialize(power.historical_mmp(power.mmp_curve(rows, durations).join(owner, ACTIVITY), "athlete_id"), "suggestion-best")
     points = F.array_sort(F.collect_list(F.struct("duration_s", F.round("power", 3).alias("power"))))
     curves = best.groupBy("athlete_id").agg(points.alias("curve"))
     fit = power.ftp_candidates(best, "athlete_id").withColumn("ftp_auto", power.select_ftp())
