@@ -9,7 +9,7 @@ below it, so the root names the next merge. A merge sets three leaves (the
 merged pair, its live neighbour on the left, the position that dies), and each
 of them is carried up to the root in as many steps as the tree has levels.
 
-A worker keeps the ids of distinct pre-tokens in a bounded store, and merges
+A worker keeps the ids of distinct pre-tokens in two bounded generations, and merges
 those of a batch it does not know together: trees of one size stand in one
 array, and each step performs the next merge of every unfinished one.
 
@@ -28,7 +28,7 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Store, bounded_batches, free_names, quoted, slices
+from .common import bounded_batches, free_names, quoted, slices
 
-#: Distinct pre-tokens that a worker keeps in each of two generations, the longest it keeps (in characters), and how many of
+#: Distinct pre-tokens with which a generation is full (it takes in the batch at hand first), the longest it keeps (in characters), and how many of
 #: one text are taken at a time.
-_KEEP, _LONG, _PART = 300_000, 200, 200_000
+_KEEP, _LONG, _PART = 150_000, 200, 200_000
 #: Bytes of pre-tokens that are merged together; wider trees than this are merged one by one.
 _TOGETHER, _WIDE = 1 << 20, 1024
 #: No pair: in 32 bits for trees of at most ``_WIDE`` leaves, else in 64.
@@ -219,36 +219,49 @@ def _set(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, keys, width: int) -
 
 
 class Encoder:
-    """A vocabulary, its compiled pattern and the store of pre-tokens of one worker."""
+    """A vocabulary, its compiled pattern and the pre-tokens that one worker knows, in two generations."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.cut, self.store = vocabulary, regex.compile(vocabulary.pattern), Store(_KEEP)
+        self.v, self.cut = vocabulary, regex.compile(vocabulary.pattern)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for a, b in slices(texts, 4_000_000):
+        for a, b in slices(texts, 2_000_000):
             words = [self.cut.findall(t) if len(t) <= _PART else None for t in texts[a:b]]
-            known = self._known({w for own in words if own for w in own})
-            for text, own in zip(texts[a:b], words, strict=True):
-                parts = [b"".join(map(known.__getitem__, own))] if own is not None else self._long(text)
-                yield np.frombuffer(b"".join(parts), np.int32)
+            known = self._known(set(chain.from_iterable(own for own in words if own)))
+            coded = [None if own is None else b"".join(map(known.__getitem__, own)) for own in words]
+            self._age()
+            for text, ids in zip(texts[a:b], coded, strict=True):
+                yield np.frombuffer(b"".join(self._long(text)) if ids is None else ids, np.int32)
 
     def _long(self, text: str) -> Iterator[bytes]:
         matches = (m.group() for m in self.cut.finditer(text))
         while part := list(islice(matches, _PART)):
             yield b"".join(map(self._known(set(part)).__getitem__, part))
+            self._age()
 
     def _known(self, words: set[str]) -> dict[str, bytes]:
-        known, get = {}, self.store.get
-        new = [w for w in words if known.setdefault(w, get(w)) is None]
+        """The young generation, with all ``words`` in it."""
+        young, old = self.young, self.old
+        missing = words.difference(young)
+        new = missing.difference(old)
+        young.update((w, old[w]) for w in missing.difference(new))
+        new = list(new)
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         whole = list(map(self.v.ranks.get, raw))
         merged = iter(merge(self.v, [data for data, i in zip(raw, whole, strict=True) if i is None]))
-        for w, i in zip(new, whole, strict=True):
-            known[w] = ids = next(merged) if i is None else i.to_bytes(4, "little")
-            if len(w) <= _LONG:
-                self.store.put(w, ids)
-        return known
+        young.update((w, next(merged) if i is None else i.to_bytes(4, "little")) for w, i in zip(new, whole, strict=True))
+        self.long = [w for w in new if len(w) > _LONG]
+        return young
+
+    def _age(self) -> None:
+        """Let long pre-tokens go, and the old generation once the young one is full."""
+        for w in self.long:
+            del self.young[w]
+        if len(self.young) > _KEEP:
+            self.old, self.young = self.young, {}
 
 
 _WORKER: list[Encoder] = []
@@ -289,7 +302,7 @@ def little_endian(rows: pd.Series) -> pd.Series:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids, n_tokens`` of every row."""
-    bounded_batches(docs.sparkSession, 8 << 20)
+    bounded_batches(docs.sparkSession)
     ids = encoder(shipped(docs.sparkSession, path, pattern))
     coded = docs.select(quoted(id_col).alias("id"), ids(quoted(text_col)).alias("ids"))
     return coded.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_tokens"))
