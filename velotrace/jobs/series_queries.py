@@ -212,6 +212,24 @@ def a6_a8_a9_ftp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.select("team", "cp", "w_prime", "r_squared", "ftp"), "cp", "w_prime", "r_squared")
 
 
+LONG = mmp_sql(power.DURATIONS).replace(R, A.with_ctes("records", "held"), 1).replace("FROM records WHERE power >= 0", "FROM held WHERE power >= 0")
+
+
+@query(f"""{LONG}, best AS (SELECT activity_id % 40 AS athlete_id, duration_s, max(power) AS power FROM mmp GROUP BY ALL
+), fit AS (SELECT athlete_id, count(*) FILTER (WHERE power > 0) AS n, regr_slope(power, 1.0 / duration_s) FILTER (WHERE power > 0) AS s, regr_intercept(power, 1.0 / duration_s) FILTER (WHERE power > 0) AS i,
+    CASE WHEN var_pop(power) FILTER (WHERE power > 0) = 0 THEN 0 ELSE regr_r2(power, 1.0 / duration_s) FILTER (WHERE power > 0) END AS r,
+    max(power) FILTER (WHERE duration_s = 3600 AND power > 0) AS h, max(power) FILTER (WHERE duration_s = 3300 AND power > 0) AS h55, max(power) FILTER (WHERE duration_s = 3000 AND power > 0) AS h50, max(power) FILTER (WHERE duration_s = 1200 AND power > 0) * 0.95 AS p20
+  FROM best GROUP BY athlete_id
+), cand AS (SELECT athlete_id, CASE WHEN n >= 3 AND i > 0 AND s >= 0 AND r >= 0.85 THEN i * 0.97 END AS cp_derived, h AS mmp_60min, CASE WHEN h IS NULL THEN coalesce(h55, h50) END AS mmp_close_to_60min, p20 FROM fit)
+SELECT athlete_id, round(cp_derived, 6) AS cp_derived, round(mmp_60min, 6) AS mmp_60min, round(mmp_close_to_60min, 6) AS mmp_close_to_60min, round(p20, 6) AS p20, coalesce({', '.join(f"CASE WHEN {c} BETWEEN 80 AND 500 THEN floor({c} + 0.5) END" for c in ('cp_derived', 'mmp_60min', 'mmp_close_to_60min', 'p20'))}, 0) AS ftp FROM cand""")
+def a5_a9_hour_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves of the operator's own durations over rides of an hour and more, and all candidates for the threshold power they give."""
+    curves = power.mmp_curve(A.held_records(spark, sf_dir)).withColumn("athlete_id", F.col("activity_id") % 40)
+    fit = power.ftp_candidates(power.historical_mmp(curves, "athlete_id"), "athlete_id").withColumn("ftp", power.select_ftp())
+    names = ("cp_derived", "mmp_60min", "mmp_close_to_60min", "p20")
+    return rounded(fit.select("athlete_id", *names, "ftp"), *names)
+
+
 @query(f"""{RUNS}, best AS (SELECT activity_id, max(CASE WHEN span >= 19000 THEN m END) AS m FROM (SELECT activity_id, avg(power) OVER w AS m, max(elapsed_ms) OVER w - elapsed_ms AS span FROM runs
   WINDOW w AS (PARTITION BY activity_id, run ORDER BY elapsed_ms RANGE BETWEEN CURRENT ROW AND 20000 FOLLOWING)) t GROUP BY activity_id)
 SELECT activity_id, CASE WHEN floor(m * 0.95 + 0.5) BETWEEN 80 AND 500 THEN floor(m * 0.95 + 0.5) ELSE 0 END AS ftp FROM best""")

@@ -44,6 +44,13 @@ FROM (SELECT *, 25.0{d} + activity_id % 10 AS v, CAST(cadence AS INT) AS k FROM
 """
 STEADY_SQL = _STEADY.format(d="::DOUBLE")
 
+#: Rides of real length: every sample's power, four times as high, is held for a minute of one-second rows (none counts as coasting).
+_HELD = """
+SELECT activity_id, record_index * 60 + s AS record_index, (record_index * 60 + s) * 1000 AS elapsed_ms, (record_index * 60 + s) * 1.0{d} AS elapsed_s, coalesce(power, 0.0{d}) * 4 AS power
+FROM records, {seconds}
+"""
+HELD_SQL = _HELD.format(d="::DOUBLE", seconds="range(60) AS seconds(s)")
+
 _ACTIVITIES = """
 SELECT activity_id, athlete_id, {ts} AS start_ts, secs AS start_s, 'rides/' || CAST(activity_id AS {text}) || '.fit' AS file_path,
   CASE activity_id % 3 WHEN 0 THEN 'cycling' WHEN 1 THEN 'road_biking' ELSE 'running' END AS sport,
@@ -94,6 +101,11 @@ def steady_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_STEADY.format(d="D").replace("FROM records", "FROM {r}"), r=records(spark, sf_dir))
 
 
+def held_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _HELD.format(d="D", seconds="").rstrip().rstrip(",").replace("FROM records", "FROM {r} LATERAL VIEW explode(sequence(0L, 59L)) seconds AS s")
+    return spark.sql(text, r=records(spark, sf_dir).select("activity_id", "record_index", "power"))
+
+
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _ACTIVITIES.format(ts="timestamp_seconds(secs)", text="STRING", days="datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01')")
     return spark.sql(text.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
@@ -119,7 +131,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Derived tables as CTEs, for SQL that needs them.
-CTES = {"records": RECORDS_SQL, "steady": STEADY_SQL, "activities": ACTIVITIES_SQL, "profiles": PROFILES_SQL, "athletes": ATHLETES_SQL, "analyses": ANALYSES_SQL}
+CTES = {"records": RECORDS_SQL, "steady": STEADY_SQL, "held": HELD_SQL, "activities": ACTIVITIES_SQL, "profiles": PROFILES_SQL, "athletes": ATHLETES_SQL, "analyses": ANALYSES_SQL}
 
 
 def with_ctes(*names: str) -> str:
