@@ -122,8 +122,6 @@ def test_kernels():
     assert kernels.bottom_up([200 + (4 if i % 2 else -4) for i in range(40)]) == [(0, 39)]
     assert kernels.bottom_up([150.0] * 20 + [300.0] * 20) == [(0, 19), (20, 39)]
     assert kernels.despike(np.array([10.0, 10, 90, 10, 10]), 12, 0.5).tolist() == [10, 10, 10, 10, 10]
-    runs = [("flat", 0, 99, 0, 99), ("climb", 100, 110, 100, 110), ("flat", 111, 200, 111, 200), ("stopped", 201, 205, 201, 205)]
-    assert kernels.merge_short_runs(runs, 45) == [("flat", 0, 200), ("stopped", 201, 205)]
     t = np.arange(1800.0)
     assert kernels.decoupling(t, np.full(1800, 200.0), np.full(1800, 140.0), 250, 50, 190) == pytest.approx(0, abs=0.01)
     assert kernels.decoupling(t, np.full(1800, 200.0), np.where(t < 900, 135.0, 150.0), 250, 50, 190) > 5

@@ -366,7 +366,25 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("activity_id", sport.alias("sport"), F.lit("measured").alias("power_source"), F.lit(200.0).alias("ftp"), F.lit(50.0).alias("rest_hr"), F.lit(190.0).alias("top_hr"), F.lit("male").alias("sex"))
 
 
-@query()
+#: Run by run: ``k`` final runs so far, the last one's kind and ends, and the begin (``ci, cs``) that a short run gave to the next.
+MACROS = f"""{TERRAIN}, runs13 AS (
+  SELECT *, row_number() OVER w AS n, lead(terrain) OVER w AS nx, lead(e) OVER w - lead(s) OVER w AS ahead FROM (
+    SELECT activity_id, any_value(terrain) AS terrain, min(record_index) AS i, max(record_index) AS j, arg_min(elapsed_s, record_index) AS s, arg_max(elapsed_s, record_index) AS e FROM truns GROUP BY activity_id, run) t
+  WINDOW w AS (PARTITION BY activity_id ORDER BY i)
+), scan13 AS (
+  SELECT DISTINCT activity_id, 0::BIGINT AS n, 0 AS k, NULL::VARCHAR AS top, NULL::BIGINT AS ti, NULL::BIGINT AS tj, NULL::DOUBLE AS ts, NULL::DOUBLE AS te, NULL::BIGINT AS ci, NULL::DOUBLE AS cs FROM runs13
+  UNION ALL
+  SELECT activity_id, n, CASE WHEN into_top OR goes_on THEN k ELSE k + 1 END, CASE WHEN into_top OR goes_on THEN top ELSE terrain END, CASE WHEN into_top OR goes_on THEN ti ELSE xi END,
+    CASE WHEN goes_on THEN tj ELSE j END, CASE WHEN into_top OR goes_on THEN ts ELSE xs END, CASE WHEN goes_on THEN te WHEN into_top THEN coalesce(e, te) ELSE e END,
+    CASE WHEN goes_on THEN xi END, CASE WHEN goes_on THEN xs END
+  FROM (SELECT *, (k > 0 AND top = terrain) OR (short AND k > 0 AND NOT after) AS into_top, NOT (k > 0 AND coalesce(top = terrain, false)) AND short AND after AS goes_on FROM (
+    SELECT a.k, a.top, a.ti, a.tj, a.ts, a.te, r.*, coalesce(a.ci, r.i) AS xi, coalesce(a.cs, r.s) AS xs, r.terrain <> 'stopped' AND NOT coalesce(r.e - coalesce(a.cs, r.s) >= 20, false) AS short,
+      r.nx IS NOT NULL AND NOT (a.k > 0 AND (r.nx = 'stopped' OR (a.top <> 'stopped' AND NOT coalesce(r.ahead > a.te - a.ts, false)))) AS after
+    FROM scan13 a JOIN runs13 r ON r.activity_id = a.activity_id AND r.n = a.n + 1) t) t
+), macros AS (SELECT activity_id, arg_max(top, n) AS terrain, arg_max(ti, n) AS start_index, arg_max(tj, n) AS end_index FROM scan13 WHERE k > 0 GROUP BY activity_id, k)"""
+
+
+@query(f"{MACROS} SELECT * FROM macros")
 def w13_macro_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.macro_segments(A.records(spark, sf_dir), min_seconds=20.0, least=2.0)
 
