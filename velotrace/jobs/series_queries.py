@@ -401,11 +401,15 @@ def _chain(n: str, pause: int, *keys: str) -> str:
 
 
 _HOP = _haversine("la", "lo", "position_lat", "position_long")
-TRUSTED = f"""{A.with_ctes('records', 'steady')}, fixed AS (SELECT *, {FIX} AS fix, CASE WHEN {FIX} THEN struct_pack(t := elapsed_s, la := position_lat, lo := position_long) END AS f FROM steady
+
+
+def trusted_sql(source: str, pause_ms: int, km: float) -> str:
+    """CTEs up to ``trusted``: windows of ``source`` whose speeds can be trusted."""
+    return f"""fixed AS (SELECT *, {FIX} AS fix, CASE WHEN {FIX} THEN struct_pack(t := elapsed_s, la := position_lat, lo := position_long) END AS f FROM {source}
 ), prev AS (SELECT *, last_value(f IGNORE NULLS) OVER ({W_} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM fixed
 ), raw AS (SELECT *, CASE WHEN elapsed_s - p.t > 0 AND elapsed_s - p.t <= 30 AND f IS NOT NULL THEN {_haversine('p.la', 'p.lo', 'f.la', 'f.lo')} / (elapsed_s - p.t) * 3600 END AS r FROM prev
 ), gps AS (SELECT *, coalesce(avg(r) OVER ({W_} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), r) AS gps_kmh FROM raw
-), fixes AS (SELECT activity_id, record_index, elapsed_ms FROM gps WHERE fix), {_chain("fixes", 20001, "activity_id")}
+), fixes AS (SELECT activity_id, record_index, elapsed_ms FROM gps WHERE fix), {_chain("fixes", pause_ms, "activity_id")}
 , placed AS (SELECT g.*, last_value(l.i IGNORE NULLS) OVER (PARTITION BY g.activity_id ORDER BY record_index ROWS UNBOUNDED PRECEDING) AS win FROM gps g LEFT JOIN fixes_links l ON l.activity_id = g.activity_id AND l.i = g.record_index
 ), steps AS (SELECT *, lag(position_lat) OVER o AS la, lag(position_long) OVER o AS lo, lag(gps_kmh) OVER o AS gv, elapsed_s - lag(elapsed_s) OVER o AS dt FROM placed WHERE win IS NOT NULL
   WINDOW o AS (PARTITION BY activity_id, win, fix ORDER BY record_index)
@@ -417,7 +421,10 @@ TRUSTED = f"""{A.with_ctes('records', 'steady')}, fixed AS (SELECT *, {FIX} AS f
     arg_max(position_lat, record_index) FILTER (WHERE fix) AS position_lat, arg_max(position_long, record_index) FILTER (WHERE fix) AS position_long
   FROM steps GROUP BY activity_id, win
 ), trusted AS (SELECT activity_id, win AS start_index, last AS end_index, path, wheel FROM judged
-  WHERE f >= 3 AND f >= n * 0.9 AND NOT jerk AND path >= 0.05 AND {_HOP} / path >= 0.9 AND d >= f * 0.9 AND m * 100 <= 5)"""
+  WHERE f >= 3 AND f >= n * 0.9 AND NOT jerk AND path >= {km} AND {_HOP} / path >= 0.9 AND d >= f * 0.9 AND m * 100 <= 5)"""
+
+
+TRUSTED = f"{A.with_ctes('records', 'steady')}, {trusted_sql('steady', 20001, 0.05)}"
 
 
 @query(f"""{TRUSTED}, marked AS (SELECT s.activity_id, count(*) AS n_high FROM steady s JOIN trusted t ON t.activity_id = s.activity_id AND s.record_index BETWEEN t.start_index AND t.end_index GROUP BY ALL)
@@ -445,22 +452,6 @@ def w14_effort_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segments.effort_windows(records, runs, seconds=3.0), "effort")
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = bucketed(A.records(spark, sf_dir), "ride_records", "activity_id", placed=True)
-    built = segments.build_segments(records, _context(spark, sf_dir), min_seconds=20.0, drift_s=40.0, least=2.0)
-    return materialize(built, "segments")
-
-
-@query()
-def w14_w16_a14_a16_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir)
-
-
-@query()
-def a17_a23_segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.segment_context(_segments(spark, sf_dir))
-
-
 def _repaired(c: str, n: str, f: str, most: float, ratio: float) -> str:
     """The despiked value of a row whose repaired predecessor is ``f`` and whose successor is ``n``."""
     mid = f"({f} + {n}) / 2"
@@ -481,6 +472,80 @@ DECOUPLING = f"""{R}, v AS (SELECT activity_id, row_number() OVER ({W_}) AS i, e
 SELECT activity_id, CASE WHEN na >= 4 AND nb >= 4 AND a > 0 THEN (b - a) / a * 100 ELSE 0 END AS decoupling_pct FROM (SELECT DISTINCT activity_id FROM records) i LEFT JOIN s USING (activity_id)"""
 
 
+def _segment_sums(parts: str, name: str) -> str:
+    """CTE ``name``: what the records of every row of ``parts`` come to."""
+    return f"""{name} AS (
+  SELECT p.*, x.* EXCLUDE (activity_id, start_index), v IS NOT NULL AND terrain = 'descent' AND g <= -8 AND CASE WHEN v > 0 THEN sd / v ELSE 0 END >= 0.25 AS technical
+  FROM {parts} p JOIN (
+    SELECT p.activity_id, p.start_index, arg_min(elapsed_s, record_index) AS start_s, arg_max(elapsed_s, record_index) AS end_s, avg(speed_kmh) AS v, stddev_pop(speed_kmh) AS sd, avg(heart_rate) FILTER (WHERE heart_rate > 0) AS hr,
+      avg(power) FILTER (WHERE power >= 0) AS pw, avg(grade_pct) AS g, coalesce(sum(rise) FILTER (WHERE record_index > p.start_index), 0) AS up, avg(CAST(high AS INT)) AS sure
+    FROM {parts} p JOIN prepped r ON r.activity_id = p.activity_id AND r.record_index BETWEEN p.start_index AND p.end_index GROUP BY ALL) x ON x.activity_id = p.activity_id AND x.start_index = p.start_index)"""
+
+
+_COST = """CASE WHEN parts[k].n > 0 AND parts[k + 1].n > 0 THEN parts[k].n * parts[k + 1].n / (parts[k].n + parts[k + 1].n) * pow(parts[k].s / parts[k].n - parts[k + 1].s / parts[k + 1].n, 2) ELSE 0 END"""
+_DRIFT, _DRIFT_END = DECOUPLING[len(R) :].replace("FROM records", "FROM drifting").rsplit("\nSELECT activity_id, CASE", 1)
+#: Macro segments with their effort signal; windows of 10 s; bottom-up merging of neighbours while the least cost is within the
+#: threshold; parts under 20 s absorbed; drift of parts of 40 s and more with a power signal.
+SEGMENTS = f"""{MACROS}, {trusted_sql('records', 180001, 1.0)}
+, prepped AS (SELECT *, greatest(alt - lag(alt) OVER ({W_}), 0) AS rise FROM (
+  SELECT q.* EXCLUDE (alt, rise), coalesce(avg(q.altitude_m) OVER ({W_} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), q.altitude_m) AS alt, EXISTS (SELECT 1 FROM trusted w WHERE w.activity_id = q.activity_id AND q.record_index BETWEEN w.start_index AND w.end_index) AS high FROM gseries q) t
+), {_segment_sums('macros', 'msums')}
+, told AS (SELECT activity_id, terrain, start_index, end_index, split_part(e, ':', 1) AS effort_basis, split_part(e, ':', 2) AS effort_reason FROM (
+  SELECT *, CASE WHEN terrain = 'stopped' THEN 'none:stopped'
+    WHEN activity_id % 3 = 0 THEN CASE WHEN technical THEN 'none:a technical descent tells no effort' WHEN pw IS NOT NULL THEN 'power:measured' WHEN hr IS NOT NULL THEN 'hr:power is missing' ELSE 'none:nothing to go by' END
+    WHEN hr IS NULL THEN 'none:nothing to go by' WHEN activity_id % 3 = 1 THEN 'hr:no pace by grade is known' ELSE 'hr:this sport is told by heart rate' END AS e FROM msums) t
+), efforts AS (SELECT r.activity_id, m.start_index AS seg, r.record_index, r.elapsed_ms, r.elapsed_s, CASE m.effort_basis WHEN 'hr' THEN r.heart_rate ELSE r.power END AS x
+  FROM records r JOIN told m ON m.activity_id = r.activity_id AND m.effort_basis <> 'none' AND r.record_index BETWEEN m.start_index AND m.end_index), {_chain("efforts", 10000, "activity_id", "seg")}
+, windowed AS (SELECT activity_id, seg, row_number() OVER (PARTITION BY activity_id, seg ORDER BY win) AS wn, i, j, s, e, x FROM (
+  SELECT activity_id, seg, win, min(record_index) AS i, max(record_index) AS j, arg_min(elapsed_s, record_index) AS s, arg_max(elapsed_s, record_index) AS e, avg(x) AS x FROM (
+    SELECT q.*, last_value(l.i IGNORE NULLS) OVER (PARTITION BY q.activity_id, q.seg ORDER BY q.record_index ROWS UNBOUNDED PRECEDING) AS win
+    FROM efforts q LEFT JOIN efforts_links l ON l.activity_id = q.activity_id AND l.seg = q.seg AND l.i = q.record_index) t GROUP BY ALL) t
+), merging AS (
+  SELECT activity_id, seg, 0 AS step, 3 * pow(0.1 * abs(coalesce(nullif(median(x), 0), 1)), 2) AS most, list(struct_pack(a := wn, b := wn, n := CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, s := coalesce(x, 0)) ORDER BY wn) AS parts FROM windowed GROUP BY activity_id, seg
+  UNION ALL
+  SELECT activity_id, seg, step + 1, most, list_concat(list_concat(parts[1:pos - 1], [struct_pack(a := parts[pos].a, b := parts[pos + 1].b, n := parts[pos].n + parts[pos + 1].n, s := parts[pos].s + parts[pos + 1].s)]), parts[pos + 2:])
+  FROM (SELECT *, list_position(costs, list_min(costs)) AS pos FROM (SELECT *, list_transform(range(1, len(parts)), lambda k: {_COST}) AS costs FROM merging WHERE len(parts) > 1) t WHERE list_min(costs) <= most) t
+), pieces AS (SELECT p.activity_id, p.seg, p.q, f.i, f.s, l.j, l.e FROM (
+    SELECT activity_id, seg, unnest(parts) AS part, generate_subscripts(parts, 1) AS q FROM (SELECT activity_id, seg, arg_max(parts, step) AS parts FROM merging GROUP BY activity_id, seg) t) p
+  JOIN windowed f ON f.activity_id = p.activity_id AND f.seg = p.seg AND f.wn = p.part.a JOIN windowed l ON l.activity_id = p.activity_id AND l.seg = p.seg AND l.wn = p.part.b
+), absorbed AS (
+  SELECT activity_id, seg, q, 1 AS k, s, e FROM pieces WHERE q = 1
+  UNION ALL
+  SELECT p.activity_id, p.seg, p.q, CASE WHEN a.e - a.s >= 20 THEN a.k + 1 ELSE a.k END, CASE WHEN a.e - a.s >= 20 THEN p.s ELSE a.s END, p.e FROM absorbed a JOIN pieces p ON p.activity_id = a.activity_id AND p.seg = a.seg AND p.q = a.q + 1
+), grouped AS (SELECT activity_id, seg, q, CASE WHEN k > 1 AND k = max(k) OVER o AND NOT coalesce(max(e) OVER o - max(s) OVER o >= 20, false) THEN k - 1 ELSE k END AS k FROM absorbed WINDOW o AS (PARTITION BY activity_id, seg)
+), fine AS (
+  SELECT g.activity_id, min(p.i) AS start_index, any_value(m.terrain) AS terrain, max(p.j) AS end_index, any_value(m.effort_basis) AS effort_basis, any_value(m.effort_reason) AS effort_reason
+  FROM grouped g JOIN pieces p ON p.activity_id = g.activity_id AND p.seg = g.seg AND p.q = g.q JOIN told m ON m.activity_id = g.activity_id AND m.start_index = g.seg GROUP BY g.activity_id, g.seg, g.k
+  UNION ALL
+  SELECT activity_id, start_index, terrain, end_index, effort_basis, effort_reason FROM told WHERE effort_basis = 'none'
+), {_segment_sums('fine', 'fsums')}
+, drifting AS (SELECT r.* REPLACE (r.activity_id * 1000000 + f.start_index AS activity_id) FROM records r JOIN fsums f ON f.activity_id = r.activity_id AND r.record_index BETWEEN f.start_index AND f.end_index WHERE f.effort_basis IN ('power', 'vpower') AND f.end_s - f.start_s >= 40
+){_DRIFT}, drifts AS (SELECT activity_id, CASE{_DRIFT_END}
+), segments AS (
+  SELECT f.activity_id, f.start_index, f.terrain, f.end_index, f.effort_basis, f.effort_reason, f.start_s, f.end_s, f.end_s - f.start_s AS duration_s, CASE WHEN f.terrain <> 'stopped' THEN floor(g * 10 + 0.5) / 10 END AS avg_grade,
+    CASE WHEN f.terrain <> 'stopped' THEN floor(up + 0.5) END AS elev_gain_m, CASE WHEN f.terrain <> 'stopped' THEN floor(v * 10 + 0.5) / 10 END AS avg_speed_kmh, floor(hr + 0.5) AS avg_hr, CASE WHEN f.terrain <> 'stopped' THEN floor(pw + 0.5) END AS avg_power,
+    hr IS NOT NULL AS has_hr, pw IS NOT NULL AS has_power, CASE WHEN sure >= 0.8 THEN 'high' ELSE 'low' END AS speed_confidence, coalesce(technical, false) AS technical,
+    CASE WHEN x.decoupling_pct <> 0 THEN floor(x.decoupling_pct * 10 + 0.5) / 10 END AS hr_drift_pct, row_number() OVER (PARTITION BY f.activity_id ORDER BY f.start_index) - 1 AS segment
+  FROM fsums f LEFT JOIN drifts x ON x.activity_id = f.activity_id * 1000000 + f.start_index)"""
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = bucketed(A.records(spark, sf_dir), "ride_records", "activity_id", placed=True)
+    built = segments.build_segments(records, _context(spark, sf_dir), min_seconds=20.0, drift_s=40.0, least=2.0)
+    return materialize(built, "segments")
+
+
+@query(f"{SEGMENTS} SELECT * REPLACE (round(duration_s, 6) AS duration_s) FROM segments")
+def w14_w16_a14_a16_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All effort segments of the rides, with shorter least durations."""
+    return rounded(_segments(spark, sf_dir), "duration_s")
+
+
+@query()
+def a17_a23_segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.segment_context(_segments(spark, sf_dir))
+
+
 @query(f"SELECT activity_id, round(decoupling_pct, 6) AS decoupling_pct FROM ({DECOUPLING})")
 def a4_decoupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(power.decoupling(A.records(spark, sf_dir), _context(spark, sf_dir)), "decoupling_pct")
