@@ -541,6 +541,23 @@ def w14_w16_a14_a16_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_segments(spark, sf_dir), "duration_s")
 
 
+@query(f"""{SEGMENTS}, kept AS (
+  SELECT *, row_number() OVER o AS p, count(*) OVER (PARTITION BY activity_id) AS total, CASE WHEN effort_basis IN ('power', 'vpower') THEN avg_power WHEN effort_basis = 'hr' THEN avg_hr END AS val
+  FROM segments WHERE terrain <> 'stopped' OR duration_s >= 300 WINDOW o AS (PARTITION BY activity_id ORDER BY segment)
+), alike AS (SELECT a.activity_id, a.p, b.p AS q, a.terrain = b.terrain AND a.effort_basis = b.effort_basis AND abs(a.duration_s - b.duration_s) <= greatest(a.duration_s, b.duration_s) * 25 / 100
+    AND (a.val IS NULL OR b.val IS NULL OR abs(a.val - b.val) <= greatest(a.val, b.val) * 10 / 100) AS same FROM kept a JOIN kept b ON b.activity_id = a.activity_id AND b.p > a.p
+), pairs AS (SELECT x.activity_id, x.p, (x.q - x.p) // 2 AS n, x.same AND y.same AS same FROM alike x JOIN alike y ON y.activity_id = x.activity_id AND y.p = x.p + 1 AND y.q = x.q + 1 WHERE (x.q - x.p) % 2 = 0
+), sized AS (
+  SELECT k.activity_id, k.p, k.segment, coalesce((SELECT min(q) FROM alike x WHERE x.activity_id = k.activity_id AND x.p = k.p AND NOT x.same), k.total + 1) - k.p AS one,
+    coalesce((SELECT min(n) FROM pairs x WHERE x.activity_id = k.activity_id AND x.p = k.p AND NOT x.same), greatest(1, (k.total - k.p + 1) // 2)) AS two FROM kept k
+), chosen AS (SELECT *, CASE WHEN two >= 2 AND (one < 3 OR two * 2 > one) THEN 2 ELSE 1 END AS period, CASE WHEN two >= 2 AND (one < 3 OR two * 2 > one) THEN two WHEN one >= 3 THEN one ELSE 1 END AS repeats FROM sized
+), lines AS (SELECT * FROM chosen WHERE p = 1 UNION ALL SELECT c.* FROM lines l JOIN chosen c ON c.activity_id = l.activity_id AND c.p = l.p + l.period * l.repeats)
+SELECT activity_id, segment AS first_segment, period, repeats FROM lines""")
+def a17_similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the segments of a ride collapse to, short stops left out."""
+    return segments.group_similar(_segments(spark, sf_dir).where("terrain <> 'stopped' OR duration_s >= 300"))
+
+
 @query()
 def a17_a23_segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.segment_context(_segments(spark, sf_dir))
