@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..functions.shared import bucketed, materialize
+from ..functions.shared import bucketed, materialize, shared_folder
 from ..operators import heart, history, maintain, segments, suggestion, summary
 from ..sources import adapters as A
 from . import series_queries as Q
@@ -184,6 +187,29 @@ def s12_add_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.add_missing_columns(old, {"Sport": ("string", "x"), "training_load": ("int", 0), "device": ("string", None)})
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS log_date, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'saved' END AS status, count(*) AS n FROM events
+  WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events) - 10 GROUP BY ALL""")
+def s13_log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs are written by day, days beyond the retention go as whole folders, and what is left is counted by day."""
+    logs = A.table(spark, sf_dir, "events").select("ts", F.when(F.col("event_type") == "error", "failed").otherwise("saved").alias("status"))
+    path = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    maintain.write_logs(logs, path)
+    last = maintain.read_logs(spark, path, "ts timestamp, status string").agg(F.max("log_date").alias("day")).first()["day"]
+    maintain.drop_log_days(spark, path, 10, last)
+    return maintain.read_logs(spark, path, "ts timestamp, status string").where("broken IS NULL").groupBy(F.col("log_date").cast("string").alias("log_date"), "status").agg(F.count("*").alias("n"))
+
+
+@query(f"{A.with_ctes('records')} SELECT activity_id, CAST('bike' AS VARCHAR) AS device, CAST(record_index AS INTEGER) AS record_index, elapsed_s, heart_rate, power, CAST(NULL AS DOUBLE) AS cadence FROM records")
+def s2_read_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded files with one nested session a ride; the reader's schema has a field that no file has, and lacks one that they have."""
+    r = F.struct("record_index", "elapsed_s", "heart_rate", "power", F.lit(1).alias("other"))
+    nested = A.records(spark, sf_dir).groupBy("activity_id").agg(F.array_sort(F.collect_list(r)).alias("records"), F.lit("bike").alias("device"))
+    path = f"{shared_folder(spark)}/decoded-{uuid.uuid4().hex}"
+    nested.withColumn("records", F.transform("records", lambda x: x.dropFields("record_index"))).write.parquet(path)
+    schema = T.StructType.fromDDL("activity_id long, device string, records array<struct<elapsed_s: double, heart_rate: double, power: double, cadence: double>>")
+    return maintain.read_decoded(spark, path, schema)
+
+
 @query("SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'saved' END AS status, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS GROUP BY ALL")
 def s13_s14_log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved and failed counts of the log rows within ten days of the last one."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,12 @@ def recordings(files: DataFrame, suffix: str = ".fit") -> DataFrame:
 
 
 def read_decoded(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Decoded sessions with nested ``records`` as one row per record, numbered by ``record_index``."""
+    """Decoded sessions with nested ``records`` as one row per record, numbered by ``record_index``.
+
+    The schema says what is read: fields that a file lacks, in sessions or
+    records, are NULL, and others are passed over. A session without records
+    has no row.
+    """
     nested = spark.read.schema(schema).parquet(path)
     rest = [c for c in nested.columns if c != "records"]
     return nested.select(*rest, F.posexplode("records").alias("record_index", "record")).select(*rest, "record_index", "record.*")
@@ -110,10 +117,32 @@ def add_missing_columns(df: DataFrame, columns: dict[str, tuple[str, object]]) -
 
 
 def write_logs(logs: DataFrame, path: str) -> None:
-    """JSON rows, a folder per day, so that pruning touches whole folders."""
+    """JSON rows, a folder per day of ``ts`` (UTC session), so that reading and pruning touch whole folders."""
     logs.withColumn("log_date", F.to_date("ts")).write.mode("append").partitionBy("log_date").json(path)
 
 
+def read_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Log rows with their ``log_date``; a filter on it reads the folders of those days only. A broken line has its text in ``broken``, all else NULL."""
+    lines = spark.read.schema("value string, log_date date").text(path)
+    parsed = F.from_json("value", f"{schema}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    return lines.select(parsed.alias("r"), "log_date").select("r.*", "log_date")
+
+
+def drop_log_days(spark: SparkSession, path: str, days: int, today: datetime.date) -> list[str]:
+    """Delete the folders of days more than ``days`` before ``today``; 0 days keep everything. Returns the days that went."""
+    if not days:
+        return []
+    oldest = (today - datetime.timedelta(days)).isoformat()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in files.listStatus(folder):
+        name, _, day = status.getPath().getName().partition("=")
+        if name == "log_date" and day < oldest and files.delete(status.getPath(), True):
+            gone.append(day)
+    return sorted(gone)
+
+
 def prune_logs(logs: DataFrame, days: int, now) -> DataFrame:
     """Rows within the retention; 0 days keep everything."""
     return logs if days == 0 else logs.where(F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS"))
