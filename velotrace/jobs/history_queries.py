@@ -144,6 +144,26 @@ def s6_replace_wheel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.replace_wheel_samples(old, imported, imported.withColumn("ratio", F.when(F.col("activity_id") % 4 == 0, 2.0)))
 
 
+_ENTERED = {
+    "sex": "CASE WHEN athlete_id % 7 = 0 THEN 'x' WHEN athlete_id % 17 = 0 THEN NULL ELSE sex END", "age": "CASE WHEN athlete_id % 11 = 0 THEN 9.5 ELSE age END", "resting_hr": "CASE WHEN athlete_id % 13 = 0 THEN 121.0 ELSE resting_hr END",
+    "rider_mass_kg": "rider_mass_kg + CASE WHEN athlete_id % 19 = 0 THEN 200.0 ELSE 0.0 END", "bike_mass_kg": "CASE WHEN athlete_id % 5 = 0 THEN NULL WHEN athlete_id % 23 = 0 THEN 2.5 ELSE bike_mass_kg END",
+    "ftp": "CASE WHEN athlete_id % 29 = 0 THEN 79.0 WHEN athlete_id % 6 = 0 THEN NULL ELSE ftp END", "wheel_mm": "CASE WHEN athlete_id % 31 = 0 THEN 2501.0 ELSE wheel_mm END",
+}
+
+
+@query(f"""{A.with_ctes('athletes')}, entered AS (SELECT athlete_id, {', '.join(f'{e} AS {c}' for c, e in _ENTERED.items())} FROM athletes
+), told AS (SELECT *, array_to_string(list_filter([CASE WHEN (sex IS NULL) <> (age IS NULL) OR (age IS NULL) <> (resting_hr IS NULL) THEN 'together' END, CASE WHEN sex NOT IN ('male', 'female', 'other') THEN 'sex' END, CASE WHEN age NOT BETWEEN 10 AND 100 THEN 'age' END,
+  CASE WHEN resting_hr NOT BETWEEN 30 AND 120 THEN 'resting_hr' END, CASE WHEN rider_mass_kg NOT BETWEEN 30 AND 250 THEN 'rider_mass_kg' END, CASE WHEN bike_mass_kg NOT BETWEEN 3 AND 50 THEN 'bike_mass_kg' END, CASE WHEN ftp NOT BETWEEN 80 AND 500 THEN 'ftp' END,
+  CASE WHEN wheel_mm NOT BETWEEN 1000 AND 2500 THEN 'wheel_mm' END], lambda x: x IS NOT NULL), ',') AS failed FROM entered)
+SELECT athlete_id, failed, CASE WHEN failed = '' THEN age END AS age, CASE WHEN failed = '' THEN ftp END AS ftp FROM told""")
+def p10_profiles_set_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entered profiles, some of them wrong: sound ones with their values, the others with the rules they break."""
+    entered = A.athletes(spark, sf_dir).selectExpr("athlete_id", *[f"{e} AS {c}" for c, e in _ENTERED.items()])
+    good, bad = S.set_apart(entered, S.PROFILE_RULES)
+    none = F.lit(None).cast("double")
+    return good.select("athlete_id", F.lit("").alias("failed"), "age", "ftp").unionByName(bad.select("athlete_id", F.array_join("failed", ",").alias("failed"), none.alias("age"), none.alias("ftp")))
+
+
 @query(f"{A.with_ctes('athletes')} SELECT athlete_id, CASE WHEN athlete_id % 3 = 0 THEN 61 ELSE age END AS age, resting_hr, CASE WHEN athlete_id % 2 = 0 THEN 222 ELSE ftp END AS ftp FROM athletes")
 def s7_patch_athletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of patches is folded and laid over the stored profiles; NULL leaves a value."""

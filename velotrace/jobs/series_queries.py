@@ -315,10 +315,11 @@ def a11_channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.channel_stats(A.records(spark, sf_dir)), "mean", "median", "p95")
 
 
-@query(f"""{R}, f AS (SELECT activity_id, record_index, position_lat, position_long, lag(position_lat) OVER ({W_}) AS la, lag(position_long) OVER ({W_}) AS lo FROM records WHERE {FIX})
-SELECT activity_id, count(*) AS n_points, round(coalesce(sum({_haversine('la', 'lo', 'position_lat', 'position_long')}), 0), 6) AS path_km, min(position_lat) AS south, max(position_lat) AS north, min(position_long) AS west, max(position_long) AS east FROM f GROUP BY activity_id""")
+@query(f"""{R}, f AS (SELECT activity_id, record_index, position_lat, position_long, speed_kmh, heart_rate, lag(position_lat) OVER ({W_}) AS la, lag(position_long) OVER ({W_}) AS lo FROM records WHERE {FIX})
+SELECT activity_id, count(*) AS n_points, round(coalesce(sum({_haversine('la', 'lo', 'position_lat', 'position_long')}), 0), 6) AS path_km, min(position_lat) AS south, max(position_lat) AS north, min(position_long) AS west, max(position_long) AS east, {', '.join(f"count({c}) AS {n}_n, coalesce(min({c}), 0) AS {n}_low, coalesce(max({c}), 0) AS {n}_high, round(coalesce(avg({c}), 0), 6) AS {n}_mean, round(coalesce(quantile_cont({c}, 0.5), 0), 6) AS {n}_median, round(coalesce(quantile_cont({c}, 0.95), 0), 6) AS {n}_p95" for n, c in (('speed', 'speed_kmh'), ('hr', 'heart_rate')))} FROM f GROUP BY activity_id""")
 def a12_h1_route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(summary.route_stats(A.records(spark, sf_dir)), "path_km")
+    """Length, bounds, speeds and heart rates of every route."""
+    return rounded(summary.route_stats(A.records(spark, sf_dir)), "path_km", *[f"{n}_{m}" for n in ("speed", "hr") for m in ("mean", "median", "p95")])
 
 
 @query(f"""{EST}, own AS (SELECT *, CASE WHEN activity_id % 2 = 0 THEN power END AS p FROM est)
