@@ -55,3 +55,18 @@ def test_listing_and_reading(spark, tmp_path):
     found = maintain.list_recordings(spark, f"file://{tmp_path}")
     assert {(r["path"].rsplit("/", 1)[1], r["length"]) for r in found.collect()} == {("x.fit", 5), ("y.FIT", 5)}
     assert "content" not in found.columns
+
+
+def test_readers_see_finished_batches_only(spark, tmp_path):
+    from velotrace.streaming import indexing
+
+    target = f"file://{tmp_path}/table"
+    cols = "activity_id long, file_path string, total_distance_km double, rider_mass_kg double, manual_avg_hr double, imported_s long"
+    batch = lambda km: spark.createDataFrame([(i, f"f{i}", km, None, None, 0) for i in range(20)], cols)
+    indexing.merge_batch(batch(1.0), 0, target, 4)
+    indexing.merge_batch(batch(2.0), 1, target, 4)
+    mark = tmp_path / "table" / "version=0000000001" / "_SUCCESS"
+    distances = lambda: {r["total_distance_km"] for r in indexing.latest_version(spark, target).collect()}
+    assert distances() == {2.0}
+    mark.unlink()  # as if the batch were still being written
+    assert distances() == {1.0} and indexing.latest_version(spark, target).count() == 20

@@ -315,6 +315,20 @@ def a11_channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.channel_stats(A.records(spark, sf_dir)), "mean", "median", "p95")
 
 
+@query(f"""{R}, long AS (UNPIVOT (SELECT activity_id % 12 AS athlete_id, speed_kmh, heart_rate, altitude_m, power, cadence FROM records) ON speed_kmh, heart_rate, altitude_m, power, cadence INTO NAME channel VALUE value)
+SELECT athlete_id, channel, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, true AS median_holds, true AS p95_holds FROM long GROUP BY ALL""")
+def a11_merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of single rides merged by athlete; their quantiles are held against the ranks they have among all values (5 % at most)."""
+    records = A.records(spark, sf_dir)
+    stats = materialize(summary.merged_channel_stats(summary.channel_sketches(records).withColumn("athlete_id", F.col("activity_id") % 12), "athlete_id"), "merged-stats")
+    values = summary.unpivot(records).where("value IS NOT NULL").select((F.col("activity_id") % 12).alias("athlete_id"), "channel", "value")
+    ranked = values.join(stats.select("athlete_id", "channel", "median", "p95"), ["athlete_id", "channel"]).groupBy("athlete_id", "channel")
+    holds = {"median": 0.5, "p95": 0.95}
+    shares = ranked.agg(*[F.avg((F.col("value") < F.col(c)).cast("int")).alias(f"{c}_below") for c in holds], *[F.avg((F.col("value") <= F.col(c)).cast("int")).alias(f"{c}_upto") for c in holds])
+    told = shares.select("athlete_id", "channel", *[((F.col(f"{c}_below") <= q + 0.05) & (F.col(f"{c}_upto") >= q - 0.05)).alias(f"{c}_holds") for c, q in holds.items()])
+    return rounded(stats.drop("median", "p95").join(told, ["athlete_id", "channel"]), "mean")
+
+
 @query(f"""{R}, f AS (SELECT activity_id, record_index, position_lat, position_long, speed_kmh, heart_rate, lag(position_lat) OVER ({W_}) AS la, lag(position_long) OVER ({W_}) AS lo FROM records WHERE {FIX})
 SELECT activity_id, count(*) AS n_points, round(coalesce(sum({_haversine('la', 'lo', 'position_lat', 'position_long')}), 0), 6) AS path_km, min(position_lat) AS south, max(position_lat) AS north, min(position_long) AS west, max(position_long) AS east, {', '.join(f"count({c}) AS {n}_n, coalesce(min({c}), 0) AS {n}_low, coalesce(max({c}), 0) AS {n}_high, round(coalesce(avg({c}), 0), 6) AS {n}_mean, round(coalesce(quantile_cont({c}, 0.5), 0), 6) AS {n}_median, round(coalesce(quantile_cont({c}, 0.95), 0), 6) AS {n}_p95" for n, c in (('speed', 'speed_kmh'), ('hr', 'heart_rate')))} FROM f GROUP BY activity_id""")
 def a12_h1_route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,9 @@ def merge_batch(batch: DataFrame, number: int, target: str, buckets: int = BUCKE
     """Write the buckets of a batch's files anew, as version ``number`` beside the older ones.
 
     A batch reads older versions only, so one that is repeated after a failure
-    gives the same table. Parts replaced by batches before this one, which are
-    finished, are deleted.
+    gives the same table. Readers take the versions that carry Spark's mark of
+    a finished write, so they never see part of a batch. Parts replaced by
+    batches before this one are deleted, so that readers have one batch's time.
     """
     spark = batch.sparkSession
     new = newest(batch, "file_path", "imported_s").withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")).persist()
@@ -50,6 +51,11 @@ def latest_version(spark: SparkSession, target: str, before: int | None = None)
     return _read(spark, target, list(_newest_parts(spark, target, before).values()))
 
 
+def _finished(spark: SparkSession, version: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{version}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -58,8 +64,8 @@ def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
 
 
 def _parts(spark: SparkSession, target: str, before: int | None) -> list[tuple[int, int]]:
-    """(version, bucket) of all written parts."""
-    versions = [v for v in _folders(spark, target, "version=") if before is None or v < before]
+    """(version, bucket) of all parts of finished versions."""
+    versions = [v for v in _folders(spark, target, "version=") if (before is None or v < before) and _finished(spark, f"{target}/version={v:010d}")]
     return [(v, b) for v in versions for b in _folders(spark, f"{target}/version={v:010d}", "bucket=")]
 
 
