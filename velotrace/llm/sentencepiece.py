@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, bounded_batches, quoted, slices
+from .common import bounded_batches, quoted, slices
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,6 +40,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _PRE = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Longer runs are pre-tokens like any other, but their paths are not stored.
 _LONG, _KEEP = 200, 150_000
+#: Characters of pre-tokens that are read together.
+_TOGETHER = 100_000
 #: In place of the id of a piece: the bytes of one character.
 _BYTES = -1
 
@@ -107,7 +109,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.sizes = {i: len(p) for p, (i, _) in vocabulary.pieces.items()}
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
-        self.store = Store(_KEEP)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def viterbi(self, text: str) -> array:
         """Ids of the best path. A position takes 12 bytes: its score and the id of the piece that ends there."""
@@ -142,6 +145,55 @@ class Encoder:
         ids.reverse()
         return ids
 
+    def paths(self, words: list[str]) -> list[bytes]:
+        """Ids (32 bits each) of the best paths of pre-tokens of pieces' characters alone, in one reading.
+
+        No piece holds a line feed, so none crosses from one to the next where they are joined by line feeds.
+        """
+        sizes, text = self.sizes, "\n".join(words)
+        best, back = [-np.inf] * (len(text) + 1), [_BYTES] * (len(text) + 1)
+        at, ends = 0, []
+        for w in words:
+            best[at] = 0.0
+            ends.append(at + len(w))
+            at += len(w) + 1
+        for last, (size, i, score) in self.automaton.iter(text):
+            end = last + 1
+            s = best[end - size] + score
+            if s > best[end]:
+                best[end], back[end] = s, i
+        out, start = [], 0
+        for end in ends:
+            ids, at = [], end
+            while at > start:
+                i = back[at]
+                ids.append(i)
+                at -= sizes[i]
+            ids.reverse()
+            out.append(array("i", ids).tobytes())
+            start = end + 1
+        return out
+
+    def _known(self, words: set[str]) -> dict[str, bytes]:
+        """The young generation, with all ``words`` in it."""
+        young, old, single = self.young, self.old, self.single
+        missing = words.difference(young)
+        new = missing.difference(old)
+        young.update((w, old[w]) for w in missing.difference(new))
+        plain = [w for w in new if single.issuperset(w)]
+        for a, b in slices(plain, _TOGETHER):
+            young.update(zip(plain[a:b], self.paths(plain[a:b]), strict=True))
+        young.update((w, self.viterbi(w).tobytes()) for w in new.difference(plain))
+        self.long = [w for w in new if len(w) > _LONG]
+        return young
+
+    def _age(self) -> None:
+        """Let long pre-tokens go, and the old generation once the young one is full."""
+        for w in self.long:
+            del self.young[w]
+        if len(self.young) > _KEEP:
+            self.old, self.young = self.young, {}
+
     def _fall_back(self, text: str, best: array, back: array, done: int, upto: int) -> None:
         """Bytes for the characters after ``done`` that are no piece themselves."""
         for end in range(done + 1, upto + 1):
@@ -150,18 +202,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, int, float]]:
         """(ids, byte pieces, score) of each text; each distinct pre-token's path is found once."""
-        words, known = [pre_tokens(t) for t in texts], {}
-        for w in set(chain.from_iterable(words)):
-            found = self.store.get(w)
-            if found is None:
-                found = self.viterbi(w).tobytes()
-                if len(w) <= _LONG:
-                    self.store.put(w, found)
-            known[w] = found
+        words = [pre_tokens(t) for t in texts]
+        known = self._known(set(chain.from_iterable(words)))
         out = []
         for own in words:
             ids = np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32)
             out.append((ids, int(self.v.is_byte[ids].sum()), float(self.v.scores[ids].sum())))
+        self._age()
         return out
 
 
