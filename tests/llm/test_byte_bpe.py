@@ -87,3 +87,18 @@ def test_query(spark, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_a_step_climbs_once(vocabulary, monkeypatch):
+    """The leaves that a merge sets are carried up together, and leave every node the least of those below."""
+    words, calls, climb = [b"segment tree", b"leftmost pair"], [], byte_bpe._set
+
+    def watched(tree, rows, at, keys, width):
+        climb(tree, rows, at, keys, width)
+        calls.append(len(rows))
+        assert (tree[:, 1:width] == np.minimum(tree[:, 2 : 2 * width : 2], tree[:, 3 : 2 * width : 2])).all()
+
+    monkeypatch.setattr(byte_bpe, "_set", watched)
+    merged = [np.frombuffer(ids, np.int32).tolist() for ids in byte_bpe.merge(vocabulary, words)]
+    assert merged == [loop(vocabulary.ranks, w) for w in words]
+    assert len(calls) == max(len(w) - len(ids) for w, ids in zip(words, merged, strict=True))

@@ -154,11 +154,11 @@ def _merge_trees(v: Vocabulary, words: list[bytes], width: int) -> tuple[np.ndar
         after[live, at] = right
         before[live, right] = at
         ids[live, width] = -1
-        _set(tree, live, dead, _NONE, width)
-        _set(tree, live, at, _keys(v.pair_ranks(rank, ids[live, right]), at, width), width)
         near = left < width
         rows, to = live[near], left[near]
-        _set(tree, rows, to, _keys(v.pair_ranks(ids[rows, to], rank[near]), to, width), width)
+        keys = [np.full(len(live), _NONE, np.int32), _keys(v.pair_ranks(rank, ids[live, right]), at, width)]
+        keys.append(_keys(v.pair_ranks(ids[rows, to], rank[near]), to, width))
+        _set(tree, np.concatenate([live, live, rows]), np.concatenate([dead, at, to]), np.concatenate(keys), width)
     begun = ids[:, :width] >= 0
     return ids[:, :width][begun].astype(np.int32), begun.sum(1)
 
@@ -209,13 +209,14 @@ def _keys(ranks: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.where(ranks == _NONE, _NONE, ranks * np.int32(width) + at)
 
 
-def _set(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, keys, width: int) -> None:
-    """Set a leaf of every row and renew the nodes above it."""
-    node = at + width
-    tree[rows, node] = keys
+def _set(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, keys: np.ndarray, width: int) -> None:
+    """Set leaves, all different, and renew the nodes above them level by level."""
+    flat, begin, node = tree.reshape(-1), rows * (2 * width), at + width
+    flat[begin + node] = keys
     while width > 1:
         node, width = node >> 1, width >> 1
-        tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+        child = begin + 2 * node
+        flat[begin + node] = np.minimum(flat[child], flat[child + 1])
 
 
 class Encoder:
