@@ -22,7 +22,7 @@ def tables(tmp_path_factory):
     return d, c
 
 
-@pytest.mark.parametrize("name", ["h17_t8_fields_and_labels", "t4_recent_history_text"])
+@pytest.mark.parametrize("name", ["h17_t8_fields_and_labels", "t4_recent_history_text", "t7_context_document"])
 def test_distances_as_sql_prints_them(spark, tables, name):
     d, c = tables
     got = {r["activity_id"]: r.asDict() for r in jobs.QUERIES[name](spark, d).collect()}
