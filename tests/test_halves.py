@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from velotrace import jobs
+from velotrace.jobs.registry import rounded
+from velotrace.operators import summary
 
 #: Of these kilometres (price / 10,000) most are stored as a little less or more than the half that they look like.
 KM = (2.05, 3.05, 5.35, 37.65, 0.25, 12.75, 1.15, 40.0)
@@ -29,3 +32,32 @@ def test_distances_as_sql_prints_them(spark, tables, name):
     names = list(next(iter(got.values())))
     want = c.execute(f"SELECT {', '.join(names)} FROM ({jobs.ORACLE_SQL[name]})").fetchall()
     assert got == {w[names.index("activity_id")]: dict(zip(names, w)) for w in want}
+
+
+#: The mean of the first 20 is 2.85, which sums from either end miss on either side.
+SPEEDS = (1.887, 3.8329999999999997, 2.391, 1.3679999999999999, 4.514, 1.736, 1.943, 4.755, 0.0, 5.901, 3.371, 1.672, 0.325, 4.1450000000000005, 0.238, 1.042, 0.0, 4.5280000000000005, 2.324, 11.027)
+
+
+def added(values) -> float:
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
+def test_rounding_on_halves_as_duckdb_rounds(spark):
+    made = [(i, i / 100 / n) for n in (32, 64, 96) for i in range(200_001, 200_801)]
+    got = rounded(spark.createDataFrame(made, "i long, x double").select("i", "x", F.col("x").alias("r")), "r").collect()
+    c = duckdb.connect()
+    want = dict(c.execute("SELECT x, round(x, 6) FROM (SELECT unnest(?) AS x)", [[x for _, x in made]]).fetchall())
+    assert all(r["r"] == want[r["x"]] for r in got)
+    assert rounded(spark.sql("SELECT 5L AS r"), "r").first()["r"] == 5
+
+
+def test_summary_means_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, i, i * 1000, i * 1.0, i * 0.01, v, 120.0, 100.0, 80.0, v) for i, v in enumerate(SPEEDS)]
+    names = "activity_id long, record_index long, elapsed_ms long, elapsed_s double, distance_km double, speed_kmh double, heart_rate double, altitude_m double, cadence double, power double"
+    context = spark.createDataFrame([(1, 200.0, 50.0, 190.0, "male")], "activity_id long, ftp double, rest_hr double, top_hr double, sex string")
+    turned = spark.createDataFrame(rows[::-1], names).coalesce(1)
+    assert added(SPEEDS) != added(SPEEDS[::-1])
+    assert summary.activity_summary(turned, context).first()["avg_power"] == added(SPEEDS) / 20
