@@ -1,12 +1,14 @@
 """Distances and means that lie on a half or next to one, against DuckDB."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from velotrace import jobs
 from velotrace.jobs.registry import rounded
-from velotrace.operators import summary
+from velotrace.operators import segments, summary
 
 #: Of these kilometres (price / 10,000) most are stored as a little less or more than the half that they look like.
 KM = (2.05, 3.05, 5.35, 37.65, 0.25, 12.75, 1.15, 40.0)
@@ -61,3 +63,12 @@ def test_summary_means_do_not_depend_on_the_order_of_rows(spark):
     turned = spark.createDataFrame(rows[::-1], names).coalesce(1)
     assert added(SPEEDS) != added(SPEEDS[::-1])
     assert summary.activity_summary(turned, context).first()["avg_power"] == added(SPEEDS) / 20
+
+
+def test_segment_mean_on_a_half_is_added_from_the_last_record(spark):
+    rows = [(1, i, i * 1.0, v, 120.0, v, 0.0, 100.0, "low") for i, v in enumerate(SPEEDS)]
+    prepared = spark.createDataFrame(rows, "activity_id long, record_index long, elapsed_s double, speed_kmh double, heart_rate double, power double, grade_pct double, alt_smooth double, confidence string")
+    parts = spark.createDataFrame([(1, 0, 19, "flat", "power")], "activity_id long, start_index long, end_index long, terrain string, effort_basis string")
+    got = segments.segment_summary(prepared, parts).first()
+    assert got["avg_speed_kmh"] == math.floor(added(SPEEDS[::-1]) / 20 * 10 + 0.5) / 10 == 2.8
+    assert got["elev_gain_m"] == 0
