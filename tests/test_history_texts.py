@@ -29,3 +29,14 @@ def test_history_by_lags_equals_history_by_pairs(spark):
     got = {r["activity_id"]: r["history"] for r in summary.with_history(rides).collect()}
     assert len(want) > 8 and got == {i: want.get(i) for i in range(len(starts))}
     assert max(t.count("\n\n") for t in want.values()) > 4
+
+
+def test_other_blocks_stand_around_the_history_in_their_order(spark):
+    rides = spark.createDataFrame([(1, 1, 86400, 0, 10.0, 60.0), (1, 2, 172800, 0, 20.0, 60.0)], "athlete_id long, activity_id long, start_s long, since long, distance_km double, duration_s double")
+    rides = rides.withColumn("older", F.lit(None).cast("array<string>"))
+    block = lambda name: spark.createDataFrame([(i, f"{name} {i}") for i in (1, 2)], "activity_id long, text string")
+    parts = {"profile": block("rider"), "history": None, "segments": block("parts"), "analysis": block("told"), "chat": block("said").withColumn("chat_count", F.lit(2))}
+    got = {r["activity_id"]: r["document"] for r in summary.context_document(parts, rides.withColumn("n_prior", F.lit(0)).select("activity_id", "n_prior"), rides).collect()}
+    assert got[1] == "rider 1\n\nparts 1\n\ntold 1\n\nsaid 1"
+    entry = "1970-01-02 (10.0 km, 00:01:00):\ntold 1\n  (follow-up chat: 2 questions)"
+    assert got[2] == f"rider 2\n\n{summary.HISTORY_TITLE}{entry}\n\nparts 2\n\ntold 2\n\nsaid 2"
